@@ -4,24 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ctxloom.llm import minhash
+from ctxloom.llm import minhash, mixing, packing, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_optimal_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op7_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(_read(spark, sf_dir, "documents"))
+
+
+def op9_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.archive(_read(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
+    "op1_optimal_packing": op1_optimal_packing,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op7_pivotal_mixing": op7_pivotal_mixing,
+    "op9_warc_reassembly": op9_warc_reassembly,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLE_SQL = {
+    "op1_optimal_packing": packing.pack_sql(),
     "op2_minhash_near_dedup": rf"""
 with recursive words as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') as w from documents),
@@ -37,5 +54,12 @@ least_ as (select doc_id, min(r) as component_id from reach group by doc_id)
 select d.doc_id, coalesce(n, 0)::bigint as n_shingles, coalesce(component_id, d.doc_id) as component_id,
        d.doc_id = coalesce(component_id, d.doc_id) as kept
 from documents d left join sizes on sizes.doc_id = d.doc_id left join least_ on least_.doc_id = d.doc_id
+""",
+    "op9_warc_reassembly": """
+with p as (select page_id, coalesce(html, '') as h, strlen(coalesce(html, '')) as n from pages),
+k as (select page_id, n, sha1(h) as d, max(page_id) over (partition by h) as keep from p)
+select page_id, n::bigint as payload_bytes, d as payload_digest,
+       case when n >= 1000 and page_id < keep then 'revisit' else 'response' end as record_type,
+       case when n >= 1000 and page_id < keep then keep end as refers_to from k
 """,
 }
