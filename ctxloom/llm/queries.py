@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ctxloom.llm import minhash, mixing, packing, warc
+from ctxloom.llm import lines, minhash, mixing, packing, pii, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,16 +23,26 @@ def op7_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(_read(spark, sf_dir, "documents"))
 
 
+def op8_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(_read(spark, sf_dir, "documents"))
+
+
 def op9_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.archive(_read(spark, sf_dir, "pages"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_optimal_packing": op1_optimal_packing,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op7_pivotal_mixing": op7_pivotal_mixing,
+    "op8_pii_spans": op8_pii_spans,
     "op9_warc_reassembly": op9_warc_reassembly,
+    "op10_fuzzy_line_dedup": op10_fuzzy_line_dedup,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
