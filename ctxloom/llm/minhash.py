@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ctxloom.llm.common import FOLD, Words, connected_components, constants, drop, matrix, mix, plain, runs, stash, texts_in_chunks
 
 SHINGLE, HASHES, BANDED, ROWS, BITS = 5, 512, 128, 4, 2
+BROADCAST_ROWS = 1_000_000  # of two longs
 ODD_BITS = 0x5555555555555555
 
 
@@ -172,7 +173,10 @@ def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, sa
     The rows of a lead follow its own text in one sorted run, so a task holds one set at a time; leads with many
     members are dealt over several runs, each with a copy of the lead's text."""
     many = pairs.groupBy("lead").agg(F.ceil(F.count("*") / salt_at).cast("int").alias("runs"))
-    text = reps.select("class", "rep").join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep").select("class", "text")
+    wanted = stash(pairs.select(F.col("lead").alias("class")).union(pairs.select("member")).distinct().join(reps.select("class", "rep"), "class"), "wanted")
+    # A checked size: beyond it the texts are shuffled.
+    small = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    text = stash(docs.select(F.col("doc_id").alias("rep"), "text").join(small, "rep").select("class", "text"), "texts")
     members = pairs.join(many, "lead").select("lead", F.pmod(F.xxhash64("member"), F.col("runs")).cast("int").alias("run"), "member")
     members = members.join(text.withColumnRenamed("class", "member"), "member").select("lead", "run", "member", "text")
     leads = many.select("lead", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), F.lit(None).cast("long").alias("member"))
