@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ctxloom.llm import lines, minhash, mixing, packing, pii, warc
+from ctxloom.llm import lines, minhash, mixing, multi_index, packing, pii, topk, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,6 +19,14 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_read(spark, sf_dir, "embeddings"))
+
+
+def op5_multi_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op7_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(_read(spark, sf_dir, "documents"))
 
@@ -39,6 +47,8 @@ def op10_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_optimal_packing": op1_optimal_packing,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_exact_topk": op3_exact_topk,
+    "op5_multi_index_dedup": op5_multi_index_dedup,
     "op7_pivotal_mixing": op7_pivotal_mixing,
     "op8_pii_spans": op8_pii_spans,
     "op9_warc_reassembly": op9_warc_reassembly,
@@ -64,6 +74,23 @@ least_ as (select doc_id, min(r) as component_id from reach group by doc_id)
 select d.doc_id, coalesce(n, 0)::bigint as n_shingles, coalesce(component_id, d.doc_id) as component_id,
        d.doc_id = coalesce(component_id, d.doc_id) as kept
 from documents d left join sizes on sizes.doc_id = d.doc_id left join least_ on least_.doc_id = d.doc_id
+""",
+    "op3_exact_topk": """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as e from embeddings where vec_id is not null and len(embedding) = 64),
+s as (select q.vec_id as query_id, c.vec_id as vec_id, list_inner_product(q.e, c.e)::bigint as score
+      from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0)
+select query_id, rank::integer as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 10
+""",
+    "op5_multi_index_dedup": """
+with recursive v as (select vec_id, embedding::double[64] as e from embeddings),
+links as (select a.vec_id as x, b.vec_id as y from v a join v b on a.vec_id <> b.vec_id where array_cosine_similarity(a.e, b.e) >= 0.95),
+reach as (select x as vec_id, y as r from links union select reach.vec_id, links.y from reach join links on links.x = reach.r),
+n as (select x as vec_id, count(*) as n_links from links group by x),
+c as (select vec_id, min(r) as component_id from reach group by vec_id)
+select v.vec_id, coalesce(n_links, 0)::bigint as n_links, least(coalesce(component_id, v.vec_id), v.vec_id) as component_id,
+       v.vec_id = least(coalesce(component_id, v.vec_id), v.vec_id) as kept
+from v left join n on n.vec_id = v.vec_id left join c on c.vec_id = v.vec_id
 """,
     "op9_warc_reassembly": """
 with p as (select page_id, coalesce(html, '') as h, strlen(coalesce(html, '')) as n from pages),
