@@ -79,6 +79,8 @@ MULT = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(MULT), -1, 1 << 64))
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Between words of letters, digits and bytes beyond ASCII.
+MARKS = np.array([not (48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123 or b >= 128) for b in range(256)])
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 _powers: dict[str, np.ndarray] = {}
@@ -114,10 +116,10 @@ class Words:
 
     start, end: of each word, in bytes; doc: the text it is in; first: where each text's words begin (len texts + 1)."""
 
-    def __init__(self, buf: np.ndarray, offsets: np.ndarray):
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE):
         self.buf, self.offsets = buf, offsets
         space = np.ones(len(buf) + 2, dtype=bool)
-        space[1:-1] = SPACE[buf]
+        space[1:-1] = between[buf]
         starts = ~space[1:-1] & space[:-2]
         inner = offsets[(offsets > 0) & (offsets < len(buf))]
         starts[inner] = ~space[inner + 1]

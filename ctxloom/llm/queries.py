@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ctxloom.llm import lines, minhash, mixing, multi_index, packing, pii, topk, warc
+from ctxloom.llm import lines, minhash, mixing, multi_index, packing, pii, quality, topk, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,10 +23,20 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_read(spark, sf_dir, "embeddings"))
 
 
+def op4_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _read(spark, sf_dir, "labels")))
+
+
 def op5_multi_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
 
+def op6_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, _read(spark, sf_dir, "labels")))
+
+
 def op7_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(_read(spark, sf_dir, "documents"))
 
@@ -48,7 +58,9 @@ QUERIES = {
     "op1_optimal_packing": op1_optimal_packing,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_exact_topk": op3_exact_topk,
+    "op4_toxicity_cnn": op4_toxicity_cnn,
     "op5_multi_index_dedup": op5_multi_index_dedup,
+    "op6_attention_quality": op6_attention_quality,
     "op7_pivotal_mixing": op7_pivotal_mixing,
     "op8_pii_spans": op8_pii_spans,
     "op9_warc_reassembly": op9_warc_reassembly,
