@@ -199,3 +199,12 @@ def plain(df: DataFrame, *names: str) -> DataFrame:
 def held_out(doc_id: str = "doc_id"):
     """Rows whose labels no classifier may learn from: crc32 of the id as text, mod 3, is 1."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+#: Rows of a few longs that may be broadcast; more are shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def checked(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a broadcast hint where it has `most` rows or fewer; otherwise Spark joins by shuffling. df should be a stashed table."""
+    return F.broadcast(df) if df.count() <= most else df

@@ -20,10 +20,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ctxloom.llm.common import FOLD, Words, connected_components, constants, drop, matrix, mix, plain, runs, stash, texts_in_chunks
+from ctxloom.llm.common import FOLD, Words, checked, connected_components, constants, drop, matrix, mix, plain, runs, stash, texts_in_chunks
 
 SHINGLE, HASHES, BANDED, ROWS, BITS = 5, 512, 128, 4, 2
-BROADCAST_ROWS = 1_000_000  # of two longs
 ODD_BITS = 0x5555555555555555
 
 
@@ -174,9 +173,7 @@ def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, sa
     members are dealt over several runs, each with a copy of the lead's text."""
     many = pairs.groupBy("lead").agg(F.ceil(F.count("*") / salt_at).cast("int").alias("runs"))
     wanted = stash(pairs.select(F.col("lead").alias("class")).union(pairs.select("member")).distinct().join(reps.select("class", "rep"), "class"), "wanted")
-    # A checked size: beyond it the texts are shuffled.
-    small = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    text = stash(docs.select(F.col("doc_id").alias("rep"), "text").join(small, "rep").select("class", "text"), "texts")
+    text = stash(docs.select(F.col("doc_id").alias("rep"), "text").join(checked(wanted), "rep").select("class", "text"), "texts")
     members = pairs.join(many, "lead").select("lead", F.pmod(F.xxhash64("member"), F.col("runs")).cast("int").alias("run"), "member")
     members = members.join(text.withColumnRenamed("class", "member"), "member").select("lead", "run", "member", "text")
     leads = many.select("lead", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), F.lit(None).cast("long").alias("member"))
@@ -206,6 +203,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, keep_above: float = 0.66
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def keep_one(docs: DataFrame, **parameters) -> DataFrame:
+    """documents -> the rows, with all their columns, of one document of each group. Rows of a null doc_id stay."""
+    gone = stash(near_duplicates(docs, **parameters).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    return docs.join(checked(gone), docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+
+
 def links(reps: DataFrame, docs: DataFrame, percent: int, keep_above: float, block: int = 1024) -> DataFrame:
     """Confirmed links that connect what all confirmed links connect."""
     bands = reps.select(F.explode("bands").alias("key"), "class")

@@ -143,3 +143,24 @@ def score(docs: DataFrame, model: dict | None, cut: float = 0.5) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = plain(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(_score(shared), "doc_id long, score double")
     return rows.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+def _keep(shared, cut: float):
+    def run(batches):
+        import pyarrow as pa
+
+        model = shared.value
+        for batch in batches:
+            good = np.ones(batch.num_rows, dtype=bool)
+            if model is not None:
+                for at, x, bag in passages(batch.column("text")):
+                    good[at : at + len(bag) - 1] = sigmoid(forward(model, x.astype(np.float64), bag[:-1])[-1]) >= cut
+            yield batch.filter(pa.array(good))
+
+    return run
+
+
+def keep(docs: DataFrame, model: dict | None, cut: float = 0.5) -> DataFrame:
+    """documents -> the rows, with all their columns, that score cut or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(_keep(shared, cut), docs.schema)
