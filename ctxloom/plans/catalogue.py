@@ -1,14 +1,590 @@
-"""The queries that the engine registers, with the SQL that gives the same rows."""
+"""The queries that the engine registers, with the SQL that gives the same rows.
+
+The driver's tables stand in for a repository: documents are files on two branches, their lines chunks, benchmark
+items queries, embeddings the vectors of chunks and queries.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ctxloom.functions import names, paths, text
+from ctxloom.operators import corpus, curate, evaluate, fusion, lexical, rerank, store, vectors
+from ctxloom.operators.lexical import ranked
+from ctxloom.plans import sql
+from ctxloom.streaming import limiter, requests
+
+K = 50
+HYBRID = 0.5  # the lexical lane's weight beside the vectors' 1.0
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def query(name: str, oracle: str | None):
+    def keep(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLE_SQL[name] = oracle
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def corpus_of(spark: SparkSession, sf_dir: str) -> corpus.Corpus:
+    return corpus.from_documents(table(spark, sf_dir, "documents"))
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+
+
+def chunk_vectors(spark: SparkSession, sf_dir: str, chunks: DataFrame) -> DataFrame:
+    """(id = chunk, v): every chunk has the vector that its hash picks among the first 500."""
+    e = table(spark, sf_dir, "embeddings").where("vec_id < 500").select("vec_id", F.col("embedding").alias("v"))
+    pick = (F.conv(F.substring("chunk", 1, 8), 16, 10).cast("long") % 500).alias("vec_id")
+    return chunks.select(F.col("chunk").alias("id"), pick).join(F.broadcast(e), "vec_id").select("id", "v")  # 500 rows
+
+
+def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").where("vec_id < 500").select("vec_id", F.col("embedding").alias("v"))
+    return asked(spark, sf_dir).select("qid", (F.col("qid") % 500).alias("vec_id")).join(F.broadcast(e), "vec_id").select("qid", "v")
+
+
+def lexical_lane(spark, sf_dir, c: corpus.Corpus, locs: DataFrame, weight: float = 1.0) -> fusion.Lane:
+    q = asked(spark, sf_dir)
+    top = fusion.visible_top(lexical.chunk_scores(c.chunks, q), locs, K)
+    by_doc = fusion.files_by_document(lexical.file_scores(c.placed, q), c.document_paths("main"), K)
+    return fusion.Lane(top, [fusion.files_by_first_chunk(top, locs), by_doc], weight)
+
+
+def vector_lane(spark, sf_dir, c: corpus.Corpus, locs: DataFrame, weight: float = 1.0) -> fusion.Lane:
+    seen = c.chunks.join(locs.select("chunk").distinct(), "chunk", "left_semi")
+    s = vectors.cosine(chunk_vectors(spark, sf_dir, seen), query_vectors(spark, sf_dir)).withColumnRenamed("id", "chunk")
+    top = fusion.visible_top(s, locs, K)
+    return fusion.Lane(top, [fusion.files_by_first_chunk(top, locs)], weight)
+
+
+def route(spark, sf_dir, *kinds: str):
+    """-> corpus, locations on main, fused files, fused chunks."""
+    c = corpus_of(spark, sf_dir)
+    locs = c.locations("main")
+    make = {"lexical": lexical_lane, "vector": vector_lane}
+    lanes = [make[k](spark, sf_dir, c, locs, HYBRID if k == "lexical" and len(kinds) > 1 else 1.0) for k in kinds]
+    files = fusion.fused_files(lanes)
+    return c, locs, files, fusion.fused_chunks(lanes, files, locs, K)
+
+
+LEXICAL = f"with {sql.PLACED},{sql.CHUNK_BM25},{sql.FILE_BM25},{sql.lane('lx', 'cs', K)},{sql.by_document(K)}"
+LEX_ROUTE = f"{LEXICAL},{sql.fuse([('lx', ['lx_f', 'doc_f'], 1.0)], K)}"
+VEC_ROUTE = f"with {sql.PLACED},{sql.VECTOR},{sql.lane('vx', 'vs', K)},{sql.fuse([('vx', ['vx_f'], 1.0)], K)}"
+HYB_ROUTE = f"{LEXICAL},{sql.VECTOR},{sql.lane('vx', 'vs', K)},{sql.fuse([('lx', ['lx_f', 'doc_f'], HYBRID), ('vx', ['vx_f'], 1.0)], K)}"
+
+
+# --- text, paths, names --------------------------------------------------------------------------
+
+
+@query("tokenize_document", f"""
+select doc_id, len(t)::bigint as n_tokens, md5(array_to_string(t, ' ')) as tokens_md5
+from (select doc_id, flatten(list_transform({sql.words('text')}, lambda w: {sql.emitted('w')})) as t from documents)""")
+def tokenize_document(spark, d):
+    t = text.document_tokens(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.md5(F.array_join(t, " ").cast("binary")).alias("tokens_md5"))
+
+
+@query("query_terms", f"with {sql.ASKED} select qid, string_agg(term, ' ' order by term) as terms from asked group by qid")
+def query_terms(spark, d):
+    return asked(spark, d).select("qid", F.array_join(F.array_sort(text.query_terms(F.col("query"))), " ").alias("terms")).where("terms <> ''")
+
+
+@query("path_rules", rf"""
+with {sql.FILES},
+p as (select path from files union all select regexp_replace(url, '^https?://', '') from pages
+      union all select concat('vendor/', regexp_extract(url, '[^/]*$'), '_test.go') from pages union all select concat('a/FooTests/', page_id, '.Spec.TS') from pages),
+n as (select path, regexp_extract(path, '[^/]*$') as name from p),
+s as (select path, name, regexp_extract(name, '^(.+)\.[^.]*$', 1) as stem, lower(regexp_extract(name, '(\.[^.]*)$', 1)) as ext from n)
+select path, count(*) as n,
+  any_value(not (regexp_matches(path, '(^|/)(third_party|vendor|external|node_modules|secrets)/') or regexp_matches(name, '\.min\.js$|\.pb\.(cc|go)$|^moc_.*\.cpp$|_generated\.|^\.env($|\.)|\.(pem|key)$|^(id_rsa|credentials)$'))) as indexable,
+  any_value(regexp_matches(lower(path), '(^|/)(test|tests|testing|__tests__|testdata|spec|specs|fixtures|e2e|benchmark|benchmarks)/') or regexp_matches(path, '(^|/)test[A-Z_-][^/]*/|[a-z0-9]Tests?/')
+   or (stem <> '' and regexp_matches(stem, '^test_|^gtest_|^conftest$|_tests?$|_unittest$|\.(test|spec)$|[a-z0-9](Tests?|IT|TestCase)$'))) as is_test,
+  any_value(case ext when '.c' then 1 when '.go' then 3 when '.rs' then 4 when '.py' then 7 when '.java' then 8
+       when '.ts' then 5 when '.mts' then 5 when '.cts' then 5 when '.tsx' then 6 when '.js' then 6 when '.jsx' then 6 when '.mjs' then 6 when '.cjs' then 6
+       when '.h' then 2 when '.cc' then 2 when '.cpp' then 2 when '.cxx' then 2 when '.hpp' then 2 when '.hh' then 2 when '.hxx' then 2 when '.ipp' then 2 when '.inl' then 2 else 0 end) as lang
+from s group by path""")
+def path_rules(spark, d):
+    pages = table(spark, d, "pages")
+    p = corpus.files_of(table(spark, d, "documents")).select("path")
+    p = p.unionByName(pages.select(F.regexp_replace("url", "^https?://", "").alias("path")))
+    p = p.unionByName(pages.select(F.concat(F.lit("vendor/"), F.regexp_extract("url", "[^/]*$", 0), F.lit("_test.go")).alias("path")))
+    p = p.unionByName(pages.select(F.concat(F.lit("a/FooTests/"), F.col("page_id"), F.lit(".Spec.TS")).alias("path")))
+    c = F.col("path")
+    return p.groupBy("path").agg(F.count("*").alias("n")).select("path", "n", paths.indexable(c).alias("indexable"), paths.is_test(c).alias("is_test"), paths.lang_of(c).alias("lang"))
+
+
+@query("eval_path_rules", rf"""
+with {sql.FILES} select path, any_value(not regexp_matches(path, '{paths.EVAL_VENDOR}') and lang > 0) as is_code,
+  any_value(regexp_matches(path, '(^|/)tests(/|$)')) as is_test, any_value(regexp_matches(path, '\.md$')) as is_doc from files group by path""")
+def eval_path_rules(spark, d):
+    c = F.col("path")
+    return corpus.files_of(table(spark, d, "documents")).select("path").distinct().select(
+        "path", paths.eval_is_code(c).alias("is_code"), paths.eval_is_test(c).alias("is_test"), paths.eval_is_doc(c).alias("is_doc"))
+
+
+@query("eval_symbols", r"""
+select page_id, regexp_replace(regexp_replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(split_part(trim(s), '->', 1), '^\(\s*\*?\s*([A-Za-z_][A-Za-z0-9_]*)\s*\)\.', '\1.'),
+   '<[^<>]*>', '', 'g'), '\([^()]*\)', '', 'g'), '#', '::'), '.', '::'), '\s+', '', 'g'), '^:+|:+$', '', 'g') as symbol
+from (select page_id, concat('(*T', page_id, ').', regexp_extract(url, '[a-z]+\.[a-z]+'), '<A', page_id % 3, '>(int x) -> R') as s from pages)""")
+def eval_symbols(spark, d):
+    s = F.concat(F.lit("(*T"), F.col("page_id"), F.lit(")."), F.regexp_extract("url", r"[a-z]+\.[a-z]+", 0), F.lit("<A"), F.col("page_id") % 3, F.lit(">(int x) -> R"))
+    return table(spark, d, "pages").select("page_id", names.eval_symbol(s).alias("symbol"))
+
+
+@query("embed_text_truncated", """
+select doc_id, strlen(cut)::bigint as n_bytes, md5(cut) as cut_md5 from (
+  select doc_id, left(s, list_max(list_filter(range(0, 101), lambda i: strlen(left(s, i)) <= 100))::integer) as cut
+  from (select doc_id, concat(source, chr(10), text) as s from documents))""")
+def embed_text_truncated(spark, d):
+    cut = names.embed_text(F.col("source"), F.col("text"), 100)
+    return table(spark, d, "documents").select("doc_id", F.octet_length(cut).cast("long").alias("n_bytes"), F.md5(cut.cast("binary")).alias("cut_md5"))
+
+
+@query("issue_scores", r"""
+select conv_id, turn, ((case when regexp_matches(text, '(?i)(steps? to reproduce|to reproduce|reproduc|minimal example|expected behaviou?r|actual behaviou?r|what happened|how to reproduce)') then 2 else 0 end)
+ + (case when regexp_matches(text, '(Traceback|panicked at|SIGSEGV|Exception|\bat [\w.]+\(|#\d+ 0x[0-9a-f]+)') then 2 else 0 end)
+ + (case when length(text) between 400 and 6000 then 1 else 0 end)
+ - (case when regexp_matches(left(text, 400), '(?i)(feature request|proposal|rfc\b|would be nice|it would be great|enhancement request)') then 2 else 0 end)
+ + (case when len(string_split(text, '```')) > 2 then 1 else 0 end))::integer as score from conversations""")
+def issue_scores(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", names.issue_score(F.col("text")).alias("score"))
+
+
+# --- store ---------------------------------------------------------------------------------------
+
+
+@query("content_hash_dedup", f"with {sql.FILES} select blob, count(*) as n_files, min(path) as first_path, (min(lang) <> max(lang)) as several_langs from files group by blob")
+def content_hash_dedup(spark, d):
+    f = corpus.files_of(table(spark, d, "documents"))
+    return f.groupBy("blob").agg(F.count("*").alias("n_files"), F.min("path").alias("first_path"), (F.min("lang") != F.max("lang")).alias("several_langs"))
+
+
+@query("upsert_ordinals", f"""
+with {sql.PLACED}, k as (select chunk, row_number() over (order by chunk) - 1 as ord from chunks where chunk < '8'),
+n as (select chunk, (select count(*) from k) + row_number() over (order by chunk) - 1 as ord from chunks where chunk >= '8')
+select chunk, ord, false as inserted from k union all select chunk, ord, true from n""")
+def upsert_ordinals(spark, d):
+    chunks = corpus_of(spark, d).placed.select("chunk").distinct()
+    stored = store.with_ordinals(chunks.where("chunk < '8'"), ["chunk"])
+    return store.find_or_insert(stored, chunks, "chunk", ["chunk"])
+
+
+@query("placements", f"with {sql.PLACED} select blob, lang, chunk, start_line, min(end_line) as end_line from placed group by all")
+def placements(spark, d):
+    return store.first_placement(corpus_of(spark, d).placed)
+
+
+@query("branch_visibility", f"""
+with {sql.PLACED} select chunk, side, count(*) as n, string_agg(concat(path, ':', start_line), ' ' order by path, start_line) as places from locs group by all""")
+def branch_visibility(spark, d):
+    w = F.array_sort(F.collect_list(F.struct("path", "start_line")))
+    rows = corpus_of(spark, d).locations("main").groupBy("chunk", "side").agg(F.count("*").alias("n"), w.alias("w"))
+    return rows.select("chunk", "side", "n", F.array_join(F.transform("w", lambda x: F.concat(x["path"], F.lit(":"), x["start_line"])), " ").alias("places"))
+
+
+@query("symbol_list", f"with {sql.PLACED} select concat(path, '::', symbol) as symbol, count(*) as n from locs join chunks using (chunk) where symbol <> '' group by all")
+def symbol_list(spark, d):
+    c = corpus_of(spark, d)
+    rows = c.locations("main").join(c.chunks.where("symbol <> ''").select("chunk", "symbol"), "chunk")
+    return rows.groupBy(F.concat("path", F.lit("::"), "symbol").alias("symbol")).agg(F.count("*").alias("n"))
+
+
+@query("anti_already_parsed", f"""
+with {sql.FILES} select distinct blob, lang from files where lang > 0 and doc_id % 3 <> 2
+  and (blob, lang) not in (select (blob, lang) from files where lang > 0 and doc_id % 5 <> 4)""")
+def anti_already_parsed(spark, d):
+    c = corpus_of(spark, d)
+    on = lambda b: c.files.where("lang > 0").join(c.branch_files.where(F.col("branch") == b), "path", "left_semi").select("blob", "lang").distinct()
+    return on("dev").join(on("main"), ["blob", "lang"], "left_anti")
+
+
+@query("index_stats", f"""
+with {sql.PLACED} select (select count(*) from files where lang > 0) as files, (select count(distinct blob) from files where lang > 0) as blobs,
+  (select count(*) from (select distinct blob, lang from placed)) as parsed, (select count(*) from chunks) as chunks, (select count(*) from chunks where chunk >= '8') as new_chunks""")
+def index_stats(spark, d):
+    c = corpus_of(spark, d)
+    return store.index_stats(c.files.where("lang > 0"), c.placed, c.placed.select("chunk").distinct().where("chunk < '8'"))
+
+
+@query("pending_volume", f"""
+with {sql.PLACED} select count(*) as n, sum(least(strlen(concat(symbol, chr(10), content)), 16384))::bigint as n_bytes
+from chunks where ('0x' || substr(chunk, 1, 8))::bigint % 500 >= 400""")
+def pending_volume(spark, d):
+    c = corpus_of(spark, d).chunks
+    v = c.where(F.conv(F.substring("chunk", 1, 8), 16, 10).cast("long") % 500 < 400).select("chunk")
+    size = F.octet_length(names.embed_text(F.col("symbol"), F.col("content"), 16384))
+    return vectors.pending(c, v).agg(F.count("*").alias("n"), F.sum(size).cast("long").alias("n_bytes"))
+
+
+@query("embed_batches", f"""
+with {sql.PLACED}, p as (select distinct lang, chunk, strlen(concat(symbol, chr(10), content)) as b from placed),
+r as (select lang, chunk, b, coalesce(sum(b) over (partition by lang order by chunk rows between unbounded preceding and 1 preceding), 0) as before from p)
+select lang, (before // 65536)::bigint as batch, count(*) as n, sum(b)::bigint as n_bytes from r group by all""")
+def embed_batches(spark, d):
+    p = corpus_of(spark, d).placed.select("lang", "chunk", F.octet_length(F.concat("symbol", F.lit("\n"), "content")).alias("b")).distinct()
+    before = F.coalesce(F.sum("b").over(W.partitionBy("lang").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return p.withColumn("batch", F.floor(before / 65536)).groupBy("lang", "batch").agg(F.count("*").alias("n"), F.sum("b").cast("long").alias("n_bytes"))
+
+
+@query("gc_dead_chunks", f"""
+with {sql.PLACED}, live as (select distinct blob, lang from files where doc_id % 5 <> 4 or doc_id % 3 <> 2)
+select distinct chunk from placed where chunk not in (select chunk from placed join live using (blob, lang))""")
+def gc_dead_chunks(spark, d):
+    c = corpus_of(spark, d)
+    return store.garbage(c.branch_files, c.files, c.placed)
+
+
+# --- lexical, vector and hybrid routes -----------------------------------------------------------
+
+
+@query("df_idf_stats", f"""
+with {sql.PLACED},{sql.CHUNK_BM25} select term, count(*) as n, round(any_value(idf), 6) as idf from cs_h join cs_i using (term) group by term""")
+def df_idf_stats(spark, d):
+    c, q = corpus_of(spark, d).chunks, asked(spark, d)
+    words = lexical.counted(c, ["chunk"], {"symbol": 2.0, "content": 1.0}).select("chunk", F.explode(F.array_distinct(text.emitted(F.col("word")))).alias("term")).distinct()
+    df = words.join(F.broadcast(lexical.terms_of(q).select("term").distinct()), "term").groupBy("term").agg(F.count("*").alias("n"))
+    n = F.broadcast(c.agg(F.count("*").alias("docs")))
+    return df.crossJoin(n).select("term", "n", F.round(F.greatest(F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(lexical.LEAST_IDF)), 6).alias("idf"))
+
+
+@query("bm25_chunk_topk", f"with {sql.PLACED},{sql.CHUNK_BM25} select * from (select *, row_number() over (partition by qid order by score desc, chunk) as rank from cs) where rank <= {K}")
+def bm25_chunk_topk(spark, d):
+    return ranked(lexical.chunk_scores(corpus_of(spark, d).chunks, asked(spark, d)), ["qid"], F.desc("score"), "chunk", k=K)
+
+
+@query("bm25_file_topk", f"with {sql.PLACED},{sql.ASKED},{sql.FILE_BM25} select * from (select *, row_number() over (partition by qid order by score desc, blob, lang) as rank from fs) where rank <= {K}")
+def bm25_file_topk(spark, d):
+    return ranked(lexical.file_scores(corpus_of(spark, d).placed, asked(spark, d)), ["qid"], F.desc("score"), "blob", "lang", k=K)
+
+
+@query("lexical_route_chunks", f"{LEX_ROUTE} select * from fc")
+def lexical_route_chunks(spark, d):
+    return route(spark, d, "lexical")[3]
+
+
+@query("lexical_route_files", f"{LEX_ROUTE} select * from ff")
+def lexical_route_files(spark, d):
+    return route(spark, d, "lexical")[2]
+
+
+@query("vector_exact_topk", """
+select qid, id, score, rank from (select *, row_number() over (partition by qid order by score desc, id) as rank
+from (select a.vec_id as qid, b.vec_id as id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as score from embeddings a, embeddings b where a.vec_id < 10)) where rank <= 10""")
+def vector_exact_topk(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return vectors.exact_top(e, e.where("id < 10").select(F.col("id").alias("qid"), "v"), 10)
+
+
+@query("vector_route_chunks", f"{VEC_ROUTE} select * from fc")
+def vector_route_chunks(spark, d):
+    return route(spark, d, "vector")[3]
+
+
+@query("vector_route_files", f"{VEC_ROUTE} select * from ff")
+def vector_route_files(spark, d):
+    return route(spark, d, "vector")[2]
+
+
+@query("ann_full_probe", ORACLE_SQL["vector_exact_topk"])
+def ann_full_probe(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return vectors.Index.build(e, cells=16).search(e.where("id < 10").select(F.col("id").alias("qid"), "v"), 10)
+
+
+@query("ann_recall_at_k", None)
+def ann_recall_at_k(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    q = e.where("id < 10").select(F.col("id").alias("qid"), "v")
+    index, exact = vectors.Index.build(e, cells=16), vectors.exact_top(e, q, 10)
+    out = None
+    for probes in (1, 4, 8):
+        hit = index.search(q, 10, probes).join(exact.select("qid", "id"), ["qid", "id"]).agg(F.lit(probes).alias("probes"), F.round(F.count("*") / (exact.count()), 6).alias("recall"))
+        out = hit if out is None else out.unionByName(hit)
+    return out
+
+
+@query("ann_route_chunks", f"{VEC_ROUTE} select qid, side, chunk, score, rank from vx")
+def ann_route_chunks(spark, d):
+    c = corpus_of(spark, d)
+    v = chunk_vectors(spark, d, c.chunks)
+    return vectors.laddered(vectors.Index.build(v, cells=16), query_vectors(spark, d), c.locations("main"), K)
+
+
+@query("hybrid_chunks", f"{HYB_ROUTE} select * from fc")
+def hybrid_chunks(spark, d):
+    return route(spark, d, "lexical", "vector")[3]
+
+
+@query("hybrid_files", f"{HYB_ROUTE} select * from ff")
+def hybrid_files(spark, d):
+    return route(spark, d, "lexical", "vector")[2]
+
+
+@query("result_json", None)
+def result_json(spark, d):
+    c, locs, files, chunks = route(spark, d, "lexical")
+    return fusion.results(chunks, files, locs, c.chunks)
+
+
+# --- rerank --------------------------------------------------------------------------------------
+
+POOL = 20
+
+
+def _tokens(x: str) -> str:
+    return f"flatten(list_transform({sql.words(x)}, lambda w: {sql.emitted('w')}))"
+
+
+RERANK = f"""{LEX_ROUTE},
+rs as (select qid, side, chunk, fc.rank as old, round(len(list_intersect(list_distinct(list_filter({_tokens('b.text')}, lambda t: t not in {sql.names(text.STOPWORDS)})),
+        list_distinct({_tokens('concat(symbol, chr(10), content)')})))::double / greatest(len(list_distinct(list_filter({_tokens('b.text')}, lambda t: t not in {sql.names(text.STOPWORDS)}))), 1), 6) as s
+       from fc join chunks using (chunk) join benchmark b on b.item_id = qid where fc.rank <= {POOL}),
+rm as (select *, row_number() over (partition by qid, side order by s desc, old) as m from rs),"""
+RERANK_TAIL = f"""
+rf as (select qid, side, min(score) as floor from rh group by all),
+rr as (select qid, side, chunk, rank, score from rh union all
+       select qid, side, chunk, rank, floor - (rank - {POOL}) as score from fc join rf using (qid, side) where rank > {POOL})"""
+REPLACE = f"{RERANK} rh as (select qid, side, chunk, m as rank, s as score from rm),{RERANK_TAIL}"
+FUSED = f"""{RERANK} rx as (select qid, side, chunk, old, round(1.0::double / (60 + old) + 1.0::double / (60 + m), 9) as score from rm),
+rh as (select qid, side, chunk, row_number() over (partition by qid, side order by score desc, old) as rank, score from rx),{RERANK_TAIL}"""
+DERIVED = f"""{REPLACE},
+seen as (select qid, side, path, min(rr.rank) as r, arg_min(score, rr.rank) as sc from rr join (select distinct chunk, side, path from locs) using (chunk, side) group by all),
+un as (select qid, side, min(score) as under from rr group by all),
+dv as (select qid, side, path, old, row_number() over (partition by qid, side order by r nulls last, case when r is null then old end, path) as rank, sc from (select qid, side, path, rank as old from ff) left join seen using (qid, side, path)),
+dd as (select qid, side, path, old, rank, coalesce(sc, coalesce(under, 0) - rank) as score from dv left join un using (qid, side))"""
+
+
+def reranked(spark, d, fuse=False):
+    c, locs, files, chunks = route(spark, d, "lexical")
+    return locs, files, rerank.rerank(chunks, asked(spark, d), c.chunks, POOL, fuse=fuse)
+
+
+@query("rerank_replace", f"{REPLACE} select qid, side, chunk, rank, round(score, 6) as score from rr")
+def rerank_replace(spark, d):
+    return reranked(spark, d)[2].withColumn("score", F.round("score", 6))
+
+
+@query("rerank_fuse", f"{FUSED} select qid, side, chunk, rank, round(score, 6) as score from rr")
+def rerank_fuse(spark, d):
+    return reranked(spark, d, True)[2].withColumn("score", F.round("score", 6))
+
+
+@query("rerank_files_derive", f"{DERIVED} select qid, side, path, rank, round(score, 6) as score from dd")
+def rerank_files_derive(spark, d):
+    locs, files, chunks = reranked(spark, d)
+    return rerank.files_after(chunks, files, locs, "derive").withColumn("score", F.round("score", 6))
+
+
+@query("rerank_files_keep", f"{LEX_ROUTE} select qid, side, path, rank, score from ff")
+def rerank_files_keep(spark, d):
+    locs, files, chunks = reranked(spark, d)
+    return rerank.files_after(chunks, files, locs, "keep")
+
+
+@query("rerank_files_fuse", f"""{DERIVED}, df as (select qid, side, path, round(1.0::double / (60 + rank) + 1.0::double / (60 + old), 9) as score from dd)
+select qid, side, path, row_number() over (partition by qid, side order by score desc, path) as rank, score from df""")
+def rerank_files_fuse(spark, d):
+    locs, files, chunks = reranked(spark, d)
+    return rerank.files_after(chunks, files, locs, "fuse")
+
+
+# --- evaluation ----------------------------------------------------------------------------------
+
+TRUTH = "truth as (select b.item_id as qid, f.path as item from benchmark b join files f on contains(f.text, b.text))"
+BASE_BM25 = f"""
+bt as (select distinct qid, t as term from (
+  select qid, unnest(list_concat([lower(w)], case when len(p) > 1 then list_transform(p, lambda x: lower(x)) else [] end)) as t
+  from (select qid, w, list_filter(regexp_extract_all(regexp_replace(w, '([A-Z]+)([A-Z][a-z])', '\\1_\\2', 'g'), '[A-Z]+[a-z0-9]*|[a-z0-9]+'), lambda x: x <> '_') as p
+        from (select item_id as qid, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) as w from benchmark)))
+  where length(t) >= 2 and t not in {sql.names(text.BASELINE_STOPWORDS)}),
+btf as (select path, term, count(*) as tf from (select path, lower(unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*'))) as term from files) group by all),
+bdl as (select path, sum(tf) as dl from btf group by path),
+bdf as (select term, count(*) as df from btf group by term),
+bhit as (select qid, path, tf, dl, ln(1 + ((select count(*) from files) - df + 0.5) / (df + 0.5)) as idf from btf join bt using (term) join bdf using (term) join bdl using (path)),
+bmean as (select qid, avg(dl) as mean from (select distinct qid, path, dl from bhit) group by qid),
+base as (select qid, path, round(sum(idf * tf * 1.9 / (tf + 0.9 * (0.6 + 0.4 * dl / mean))), 6) as score from bhit join bmean using (qid) group by all)"""
+METRICS = f"""with {sql.FILES},{sql.GREP},{TRUTH},
+fl as (select qid, list(path order by rank) as f from (select qid, path, row_number() over (partition by qid order by score desc, path) as rank from grep) where rank <= 50 group by qid),
+tl as (select qid, list(distinct item) as t from truth group by qid),
+m as (select qid, t, coalesce(f, []) as f from tl left join fl using (qid)),
+pq as (select qid, {", ".join(f"round(len(list_intersect(f[1:{k}], t))::double / len(t), 6) as recall_{k}" for k in (1, 5, 10))},
+  {", ".join(f"case when list_has_all(f[1:{k}], t) then 1.0 else 0.0 end::double as acc_{k}" for k in (1, 5, 10))},
+  round(coalesce(1.0::double / list_min(list_filter(list_transform(range(1, len(f) + 1), lambda i: case when list_contains(t, f[i]) then i end), lambda i: i is not null)), 0), 6) as mrr,
+  round(coalesce(list_sum(list_transform(range(1, least(len(f), 10) + 1), lambda i: case when list_contains(t, f[i]) then 1 / log2(i + 1) else 0 end)), 0)
+        / list_sum(list_transform(range(1, least(len(t), 10) + 1), lambda i: 1 / log2(i + 1))), 6) as ndcg_10 from m)"""
+
+
+def truth_of(spark, d) -> DataFrame:
+    """Documents that hold a query's whole text: a probe by the query's first words, then the test."""
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("q"))
+    f = corpus.files_of(table(spark, d, "documents"))
+    # 24 characters say which queries a position may begin; only those are compared whole.
+    grams = f.select("path", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 23, F.lit(1))), lambda i: F.substring("text", i, F.lit(24))))).alias("g"))
+    hit = grams.join(F.broadcast(q.withColumn("g", F.substring("q", 1, 24))), "g").where(F.contains("text", F.col("q")))
+    return hit.select("qid", F.col("path").alias("item")).distinct()
+
+
+def grep_found(spark, d) -> DataFrame:
+    f = corpus.files_of(table(spark, d, "documents"))
+    s = evaluate.grep_baseline(f.select("path", "text"), asked(spark, d))
+    return ranked(s, ["qid"], F.desc("score"), "path", k=50).select("qid", F.col("path").alias("item"), "rank")
+
+
+@query("grep_baseline", f"with {sql.FILES},{sql.GREP} select * from (select *, row_number() over (partition by qid order by score desc, path) as rank from grep) where rank <= {K}")
+def grep_baseline(spark, d):
+    f = corpus.files_of(table(spark, d, "documents"))
+    return ranked(evaluate.grep_baseline(f.select("path", "text"), asked(spark, d)), ["qid"], F.desc("score"), "path", k=K)
+
+
+@query("bm25_baseline", f"with {sql.FILES},{BASE_BM25} select * from (select *, row_number() over (partition by qid order by score desc, path) as rank from base) where rank <= {K}")
+def bm25_baseline(spark, d):
+    f = corpus.files_of(table(spark, d, "documents"))
+    return ranked(evaluate.bm25_baseline(f.select("path", "text"), asked(spark, d)), ["qid"], F.desc("score"), "path", k=K)
+
+
+@query("metrics_per_query", f"{METRICS} select * from pq")
+def metrics_per_query(spark, d):
+    return evaluate.per_query(grep_found(spark, d), truth_of(spark, d))
+
+
+MACRO = " union all ".join(f"select '{m}' as metric, round(avg({m}), 6) as mean, count({m}) as n from pq" for m in ["recall_1", "recall_5", "recall_10", "acc_1", "acc_5", "acc_10", "mrr", "ndcg_10"])
+
+
+@query("metrics_macro", f"{METRICS} {MACRO}")
+def metrics_macro(spark, d):
+    return evaluate.macro(metrics_per_query(spark, d))
+
+
+@query("macro_merge", """
+with p as (select l_returnflag as metric, l_linestatus as part, round(avg(l_quantity), 6) as mean, count(*) as n from lineitem group by all)
+select metric, round(sum(mean * n) / sum(n), 6) as mean, sum(n)::bigint as n from p group by metric""")
+def macro_merge(spark, d):
+    p = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("metric"), "l_linestatus").agg(F.round(F.avg("l_quantity"), 6).alias("mean"), F.count("*").alias("n"))
+    return evaluate.merged(p)
+
+
+@query("leak_filter", f"""
+with {sql.FILES}, q as (select conv_id, turn, concat(text, ' see doc_', conv_id, '.py') as query from conversations),
+t as (select concat('src/doc_', conv_id, '.py') as p, * from q)
+select conv_id, turn, (contains(query, p) or contains(query, concat('doc_', conv_id, '.py')) or (length(concat('doc_', conv_id)) >= 6 and contains(query, concat('doc_', conv_id)))) as path_leak,
+       contains(query, 'value') as symbol_leak from t""")
+def leak_filter(spark, d):
+    q = table(spark, d, "conversations").select("conv_id", "turn", F.concat("text", F.lit(" see doc_"), "conv_id", F.lit(".py")).alias("query"))
+    gt = F.array(F.concat(F.lit("src/doc_"), "conv_id", F.lit(".py")))
+    return q.select("conv_id", "turn", names.leaks_path(F.col("query"), gt).alias("path_leak"), names.leaks_symbol(F.col("query"), F.array(F.lit("a.py::N::value"), F.lit("b.py::f"))).alias("symbol_leak"))
+
+
+@query("drop_reason_counts", f"""
+with {sql.FILES} select reason, count(*) as n from (select case when length(d.text) < 100 then 'too short' when d.lang = 'es' then 'no grammar' when f.side = 'tests' then 'only tests'
+  when l.quality = 0 then 'rejected' when l.toxic = 1 then 'toxic' else 'kept' end as reason from documents d join files f using (doc_id) left join labels l using (doc_id)) group by reason""")
+def drop_reason_counts(spark, d):
+    rows = corpus.files_of(table(spark, d, "documents")).join(table(spark, d, "documents").select("doc_id", F.col("lang").alias("l")), "doc_id").join(table(spark, d, "labels"), "doc_id", "left")
+    reason = F.when(F.length("text") < 100, "too short").when(F.col("l") == "es", "no grammar").when(F.col("side") == "tests", "only tests").when(F.col("quality") == 0, "rejected").when(F.col("toxic") == 1, "toxic").otherwise("kept")
+    return rows.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("first_per_key", "select o_custkey, o_orderkey, o_orderdate from (select *, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as r from orders) where r = 1")
+def first_per_key(spark, d):
+    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.min(F.struct("o_orderdate", "o_orderkey")).alias("m"))
+    return o.select("o_custkey", "m.o_orderkey", "m.o_orderdate")
+
+
+SPANS = """
+spans as (select user_id::varchar as path, (event_id % 400)::integer as start, (event_id % 400 + 5 + event_id % 60)::integer as stop, concat(event_type, event_id) as name from events where event_id % 10 = 0),
+points as (select distinct user_id::varchar as path, (event_id % 450)::integer as line from events where event_id % 10 <> 0)"""
+
+
+def spans_of(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("path"), "event_id", "event_type")
+    spans = e.where("event_id % 10 = 0").select("path", (F.col("event_id") % 400).cast("int").alias("start"), (F.col("event_id") % 400 + 5 + F.col("event_id") % 60).cast("int").alias("stop"), F.concat("event_type", "event_id").alias("name"))
+    return spans, e.where("event_id % 10 <> 0").select("path", (F.col("event_id") % 450).cast("int").alias("line")).distinct()
+
+
+@query("interval_enclosing", f"""
+with {SPANS} select path, line, name from (select p.path, line, name, row_number() over (partition by p.path, line order by stop - start, name) as r
+from points p join spans s on p.path = s.path and line between start and stop) where r = 1""")
+def interval_enclosing(spark, d):
+    spans, points = spans_of(spark, d)
+    return evaluate.innermost(points, spans)
+
+
+@query("line_owner", f"""
+with {SPANS} select path, line::integer as line, name from (select path, line, name, row_number() over (partition by path, line order by stop - start, name) as r
+from (select path, start, stop, name, unnest(range(start, stop + 1)) as line from spans)) where r = 1""")
+def line_owner(spark, d):
+    return evaluate.line_owners(spans_of(spark, d)[0])
+
+
+@query("dataset_stats", """
+select lang, count(*) as n, median(n_chars)::double as median_chars, (list(n_chars order by n_chars))[(0.9 * (count(*) - 1))::double::integer + 1] as p90_chars, sum(n_chars)::bigint as n_chars
+from documents group by lang""".replace("(0.9 * (count(*) - 1))::double::integer", "floor(0.9 * (count(*) - 1))::integer"))
+def dataset_stats(spark, d):
+    docs = table(spark, d, "documents")
+    at = docs.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("n_chars", "doc_id"))).join(F.broadcast(docs.groupBy("lang").agg(F.count("*").alias("c"))), "lang")
+    p90 = at.where(F.col("r") == F.floor(F.lit(0.9) * (F.col("c") - 1)) + 1).select("lang", F.col("n_chars").alias("p90_chars"))
+    return docs.groupBy("lang").agg(F.count("*").alias("n"), F.percentile("n_chars", 0.5).alias("median_chars"), F.sum("n_chars").alias("n_chars")).join(p90, "lang")
+
+
+@query("dataset_version", """
+select left(sha256(string_agg(x, '|' order by x)), 16) as version from (select concat(source, ':', md5(string_agg(sha256(text), ',' order by doc_id)), ':', count(*)) as x from documents group by source)""")
+def dataset_version(spark, d):
+    each = F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h")))), lambda s: s["h"]), ",").cast("binary"))
+    per = table(spark, d, "documents").groupBy("source").agg(each.alias("h"), F.count("*").alias("n")).select(F.concat_ws(":", "source", "h", "n").alias("x"))
+    return per.agg(F.left(F.sha2(F.array_join(F.array_sort(F.collect_list("x")), "|").cast("binary"), 256), F.lit(16)).alias("version"))
+
+
+# --- serving, curation ---------------------------------------------------------------------------
+
+
+@query("token_bucket_wait", limiter.WAIT_SQL)
+def token_bucket_wait(spark, d):
+    return limiter.waits(table(spark, d, "events"))
+
+
+@query("request_dispatch", requests.DISPATCH_SQL)
+def request_dispatch(spark, d):
+    return requests.dispatched(requests.as_requests(table(spark, d, "conversations")))
+
+
+@query("budget_levels", f"""
+with t as (select conv_id as qid, turn as rank, round(strlen(text) / 3.0, 6)::double as tokens from conversations),
+r as (select *, round(sum(tokens) over (partition by qid order by rank rows unbounded preceding), 6) as running from t)
+select qid, rank, tokens, running, case when running <= 400 then 'full' when running - tokens <= 400 then 'signature' else 'reference' end as level from r""")
+def budget_levels(spark, d):
+    items = table(spark, d, "conversations").select(F.col("conv_id").alias("qid"), F.col("turn").alias("rank"), F.lit("").alias("chunk"), F.col("text").alias("content"))
+    return curate.budget(items, 400).drop("chunk")
+
+
+@query("mmr_select", None)
+def mmr_select(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    top = vectors.exact_top(e, e.where("id < 10").select(F.col("id").alias("qid"), "v"), 50).join(e, "id")
+    return curate.diverse(top.select("qid", F.col("id").alias("chunk"), "score", "v"), 10)
+
+
+@query("secret_scan", r"""
+select doc_id, len(regexp_extract_all(text, '\b(?:AKIA|ASIA)[A-Z0-9]{16}\b'))::bigint as n_aws_key, len(regexp_extract_all(text, '\b(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{36}\b'))::bigint as n_github_token,
+  len(regexp_extract_all(text, '-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----'))::bigint as n_pem_header from documents""")
+def secret_scan(spark, d):
+    return curate.secrets(table(spark, d, "documents").select("doc_id", "text")).drop("text")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source")
+    """The lexical route: chunks of both groups for every query."""
+    return lexical_route_chunks(spark, sf_dir)
