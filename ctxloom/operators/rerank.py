@@ -13,28 +13,29 @@ from ctxloom.functions.text import document_tokens, query_terms
 from ctxloom.operators.lexical import ranked
 
 
-def overlap_score(query: Column, document: Column) -> Column:
+def overlap_score(terms: Column, document: Column) -> Column:
     """The offline scorer: the share of the query's terms that the document has."""
-    terms, tokens = query_terms(query), F.array_distinct(document_tokens(document))
-    return F.round(F.size(F.array_intersect(terms, tokens)) / F.greatest(F.size(terms), F.lit(1)), 6)
+    return F.round(F.size(F.array_intersect(terms, document_tokens(document))) / F.greatest(F.size(terms), F.lit(1)), 6)
 
 
 def rerank(chunks: DataFrame, queries: DataFrame, texts: DataFrame, pool: int = 50, max_bytes: int = 16384, fuse: bool = False,
            sides: tuple[str, ...] = ("code", "tests"), scorer: Callable[[Column, Column], Column] = overlap_score) -> DataFrame:
-    """(qid, side, chunk, rank, score) -> the same chunks in a new order. Below the pool, scores descend from its worst."""
-    near = chunks.where((F.col("rank") <= pool) & F.col("side").isin(*sides))
-    scored = near.join(texts, "chunk").join(F.broadcast(queries), "qid")
-    scored = scored.select("qid", "side", "chunk", F.col("rank").alias("old"), scorer(F.col("query"), embed_text(F.col("symbol"), F.col("content"), max_bytes)).alias("s"))
-    scored = ranked(scored, ["qid", "side"], F.desc("s"), "old").withColumnRenamed("rank", "by_model")
+    """(qid, side, chunk, rank, score) -> the same chunks in a new order. Below the pool, scores descend from its worst.
+
+    One pass: a chunk of the pool gets its score beside the row, and windows of a query's side do the rest."""
+    asked = queries.select("qid", query_terms(F.col("query")).alias("terms"))  # once a query
+    inside = (F.col("rank") <= pool) & F.col("side").isin(*sides)
+    rows = chunks.select("qid", "side", "chunk", "rank", "score").join(texts, "chunk").join(F.broadcast(asked), "qid")
+    rows = rows.select("qid", "side", "chunk", F.col("rank").alias("old"), F.col("score").alias("fused"), inside.alias("inside"),
+                       F.when(inside, scorer(F.col("terms"), embed_text(F.col("symbol"), F.col("content"), max_bytes))).alias("s"))
+    by = W.partitionBy("qid", "side")
+    order = lambda c: by.orderBy(F.when(F.col("inside"), 0).otherwise(1), F.desc(c), "old")
+    rows = rows.withColumn("rank", F.row_number().over(order("s")))
     if fuse:
-        scored = scored.withColumn("s", F.round(rrf(F.col("old")) + rrf(F.col("by_model")), 9))
-        scored = ranked(scored.drop("by_model"), ["qid", "side"], F.desc("s"), "old").withColumnRenamed("rank", "by_model")
-    floor = scored.groupBy("qid", "side").agg(F.min("s").alias("floor"))
-    head = scored.select("qid", "side", "chunk", F.col("by_model").alias("rank"), F.col("s").alias("score"))
-    tail = chunks.where((F.col("rank") > pool) & F.col("side").isin(*sides)).join(floor, ["qid", "side"])
-    tail = tail.select("qid", "side", "chunk", "rank", (F.col("floor") - (F.col("rank") - pool)).alias("score"))
-    rest = chunks.where(~F.col("side").isin(*sides)).select("qid", "side", "chunk", "rank", "score")
-    return head.unionByName(tail).unionByName(rest)
+        rows = rows.withColumn("s", F.when(F.col("inside"), F.round(rrf(F.col("old")) + rrf(F.col("rank")), 9))).withColumn("rank", F.row_number().over(order("s")))
+    floor = F.min("s").over(by)
+    score = F.when(F.col("inside"), F.col("s")).when(F.col("side").isin(*sides), floor - (F.col("old") - pool)).otherwise(F.col("fused"))
+    return rows.withColumn("score", score).select("qid", "side", "chunk", "rank", "score")
 
 
 def files_after(chunks: DataFrame, files: DataFrame, locations: DataFrame, policy: str = "derive") -> DataFrame:

@@ -431,13 +431,17 @@ pq as (select qid, {", ".join(f"round(len(list_intersect(f[1:{k}], t))::double /
 
 
 def truth_of(spark, d) -> DataFrame:
-    """Documents that hold a query's whole text: a probe by the query's first words, then the test."""
-    q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("q"))
-    f = corpus.files_of(table(spark, d, "documents"))
-    # 24 characters say which queries a position may begin; only those are compared whole.
-    grams = f.select("path", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 23, F.lit(1))), lambda i: F.substring("text", i, F.lit(24))))).alias("g"))
-    hit = grams.join(F.broadcast(q.withColumn("g", F.substring("q", 1, 24))), "g").where(F.contains("text", F.col("q")))
-    return hit.select("qid", F.col("path").alias("item")).distinct()
+    """Documents that hold a query's whole text: they share its words 2 to 6, and only those that do are compared whole."""
+    split = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("q"), split("text").alias("w"))
+    f = corpus.files_of(table(spark, d, "documents")).select("path", "text")
+    w = split("text")
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 4, F.lit(1))), lambda i: F.concat_ws(" ", F.slice("w", i, F.lit(5))))
+    grams = f.withColumn("w", w).select("path", "text", F.explode(F.array_distinct(grams)).alias("g"))
+    probe = q.where(F.size("w") >= 7).select("qid", "q", F.concat_ws(" ", F.slice("w", 2, 5)).alias("g"))
+    hit = grams.join(F.broadcast(probe), "g").where(F.contains("text", F.col("q"))).select("qid", F.col("path").alias("item"))
+    few = q.where(F.size("w") < 7).select("qid", "q")
+    return hit.unionByName(f.join(F.broadcast(few), F.contains("text", F.col("q"))).select("qid", F.col("path").alias("item"))).distinct()
 
 
 def grep_found(spark, d) -> DataFrame:

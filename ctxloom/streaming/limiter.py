@@ -60,7 +60,7 @@ def waits(events: DataFrame, rate: float = 1 / 60, burst: float = 3.0) -> DataFr
 
     by = W.partitionBy("user_id").orderBy("ts", "event_id")
     upto = by.rowsBetween(W.unboundedPreceding, 0)
-    t = F.unix_micros("ts") / 1e6
+    t = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     rows = events.select("event_id", "user_id", "ts", t.alias("t"), F.row_number().over(by).alias("n"))
     # balance before the event: min over j <= n of (burst, burst + rate * (t_n - t_j) - (n - j)) = burst + (rate t_n - n) - max_j (rate t_j - j)
     drift = F.lit(rate) * F.col("t") - F.col("n")
