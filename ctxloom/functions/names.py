@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 RRF_K = 60
 
@@ -32,7 +33,7 @@ def normalise_symbol(name: str) -> str:
     return "".join(parts).strip(":")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalised(names: pd.Series) -> pd.Series:
     return names.map(normalise_symbol, na_action="ignore")
 

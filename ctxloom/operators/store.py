@@ -64,10 +64,10 @@ class Snapshots:
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _current(self) -> dict:
-        at = self._path(f"{self.root}/_CURRENT")
+        at = self._path(f"{self.root}/CURRENT.json")
         if not self._fs.exists(at):
             return {"tables": {}, "meta": {}}
-        return json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.root}/_CURRENT").collect()))
+        return json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.root}/CURRENT.json").collect()))
 
     def commit(self, tables: dict[str, DataFrame], meta: dict | None = None) -> None:
         """All tables are written before the pointer moves; when one fails nothing changes."""
@@ -79,8 +79,9 @@ class Snapshots:
         out = self._fs.create(self._path(f"{self.root}/{version}._next"), True)
         out.write(bytearray(json.dumps(now).encode()))
         out.close()
-        pointer = self._path(f"{self.root}/_CURRENT")
-        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), self.spark._jsc.hadoopConfiguration()) if "://" in self.root or self.root.startswith("file:") else self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.spark._jsc.hadoopConfiguration())
+        pointer = self._path(f"{self.root}/CURRENT.json")
+        files, conf = self._jvm.org.apache.hadoop.fs.FileContext, self.spark._jsc.hadoopConfiguration()
+        context = files.getFileContext(pointer.toUri(), conf) if pointer.toUri().getScheme() else files.getFileContext(conf)
         rename = getattr(self._jvm, "org.apache.hadoop.fs.Options$Rename")
         options = self.spark.sparkContext._gateway.new_array(rename, 1)
         options[0] = rename.OVERWRITE
