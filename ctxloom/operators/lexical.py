@@ -30,13 +30,16 @@ def _weighed(column: str, weight: float) -> Column:
     return F.transform(words(F.col(column)), lambda w: F.struct(w.alias("word"), F.lit(weight).alias("f")))
 
 
-def bm25(docs: DataFrame, key: list[str], columns: dict[str, float], queries: DataFrame) -> DataFrame:
-    """docs (key, text columns), queries (qid, query) -> (qid, key, score), rounded to 6 places."""
+def bm25(docs: DataFrame, key: list[str], columns: dict[str, float], queries: DataFrame, several: bool = False) -> DataFrame:
+    """docs (key, text columns), queries (qid, query) -> (qid, key, score), rounded to 6 places.
+
+    several: a document may lie over several rows, whose words are added up."""
     asked = terms_of(queries)
     seen = counted(docs, key, columns)
     length = seen.groupBy(*key).agg(F.sum("n").alias("d"))
     # Documents without a word still count for the mean.
-    total = docs.select(*key).agg(F.count("*").alias("docs")).crossJoin(length.agg(F.sum("d").alias("words")))  # one row
+    ids = docs.select(*key).distinct() if several else docs.select(*key)
+    total = ids.agg(F.count("*").alias("docs")).crossJoin(length.agg(F.sum("d").alias("words")))  # one row
     probe = F.broadcast(asked.select("term").distinct())  # the terms of a batch of queries
     hits = seen.select(*key, "f", F.explode(F.array_distinct(emitted(F.col("word")))).alias("term")).join(probe, "term")
     hits = hits.groupBy("term", *key).agg(F.sum("f").alias("f"))
@@ -54,8 +57,7 @@ def chunk_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
 
 def file_scores(placed: DataFrame, queries: DataFrame) -> DataFrame:
     """Whole files: the words of all their chunks, a chunk that is placed twice counted twice."""
-    texts = placed.groupBy("blob", "lang").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_line", "content"))), lambda s: s["content"]), "\n").alias("content"))
-    return bm25(texts, ["blob", "lang"], {"content": 1.0}, queries)
+    return bm25(placed.select("blob", "lang", "content"), ["blob", "lang"], {"content": 1.0}, queries, several=True)
 
 
 def ranked(scores: DataFrame, by: list[str], *order: Column, k: int | None = None) -> DataFrame:
