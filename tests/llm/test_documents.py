@@ -110,6 +110,38 @@ def test_lines_exact_and_fuzzy(spark):
     assert lines.dedup_lines(table(spark, [])).count() == 0
 
 
+def lines_with_edits():
+    """(doc_id, line): lines of 3 to 50 words, each with a copy in which one word in ten is another, or a letter is."""
+    r = np.random.default_rng(21)
+    word = lambda n: "".join(chr(97 + c) for c in r.integers(0, 26, n))
+    vocabulary = [word(r.integers(3, 9)) for _ in range(2000)]
+    out = []
+    for n in (3, 5, 10, 20, 30, 50):
+        for _ in range(40):
+            w = list(r.choice(vocabulary, n))
+            v = list(w)
+            if n < 10:
+                v[0] = v[0][:-1] + "é"
+            for i in r.choice(n, n // 10, replace=False):
+                v[i] = word(len(v[i]))
+            out += [" ".join(w), " ".join(v)]
+    return list(enumerate(out))
+
+
+def test_fuzzy_lines_of_ordinary_length_are_found(spark):
+    rows = lines_with_edits()
+    df = spark.createDataFrame(rows, "i long, a string")
+    near = df.join(df.toDF("j", "b"), F.expr("i < j and abs(length(a) - length(b)) * 10 <= greatest(length(a), length(b))"))
+    near = near.where(F.levenshtein("a", "b") * 10 <= F.greatest(F.length("a"), F.length("b"))).select("i", "j").collect()
+    assert len(near) > 200
+    gone = {r["doc_id"] for r in lines.dedup_lines(table(spark, [(i, t, "a") for i, t in rows])).collect() if list(r["dropped"])}
+    want = {j for _, j in near}
+    assert gone <= want
+    long = {j for j in want if len(rows[j][1].split()) >= 10}
+    assert len(gone & long) >= 0.95 * len(long) and len(gone) >= 0.9 * len(want), (len(gone & long), len(long), len(gone), len(want))
+    print("fuzzy recall", len(gone & long), len(long), len(gone), len(want))
+
+
 def test_block_keys_meet_within_the_distance(spark):
     r = np.random.default_rng(3)
     pairs = []
