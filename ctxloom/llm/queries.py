@@ -51,7 +51,7 @@ def op9_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.digest(_read(spark, sf_dir, "documents"))
+    return lines.digest(_read(spark, sf_dir, "documents"), numbers=True)
 
 
 QUERIES = {

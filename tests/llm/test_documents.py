@@ -142,6 +142,18 @@ def test_fuzzy_lines_of_ordinary_length_are_found(spark):
     print("fuzzy recall", len(gone & long), len(long), len(gone), len(want))
 
 
+def test_registered_lines_that_differ_in_numbers_stay(spark, tmp_path):
+    import __spark_entry__ as entry
+    import corpus_pipeline
+
+    rows = [(1, "invoice 17 total 40\nReouti anatha.\n2024-01-02 17:00", "a"), (2, "invoice 99 total 3\nReouti anatha. 19.37.233.111\n2024-01-02 17:00\n----", "a"), (3, "Invoice 17: total 40\n----\n\u201cReouti\u201d anatha", "a")]
+    table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["dropped"] for r in entry.queries()["op10_fuzzy_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {1: "", 2: "2", 3: "0,2"}
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.dedup_lines(spark, table(spark, rows), str(tmp_path)).collect()}
+    assert kept[2].startswith("invoice 99 total 3\nReouti anatha. 19")
+
+
 def test_block_keys_meet_within_the_distance(spark):
     r = np.random.default_rng(3)
     pairs = []
