@@ -47,16 +47,25 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
 
 
+def placed_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """(at, v) of every row, at: its place from 0 by vec_id, and how many there are. Places are counted in buckets of 1024 ids."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"), F.coalesce(F.floor(F.col("vec_id") / 1024), F.lit(-1)).alias("b"))
+    before = W.orderBy("b").rowsBetween(W.unboundedPreceding, -1)
+    starts = e.groupBy("b").agg(F.count("*").alias("n")).select("b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    at = F.row_number().over(W.partitionBy("b").orderBy("vec_id", "v")) - 1
+    return e.withColumn("r", at).join(starts, "b").select((F.col("start") + F.col("r")).alias("at"), "v"), e.count()
+
+
 def chunk_vectors(spark: SparkSession, sf_dir: str, chunks: DataFrame) -> DataFrame:
-    """(id = chunk, v): every chunk has the vector that its hash picks among the first 500."""
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 500").select("vec_id", F.col("embedding").alias("v"))
-    pick = (F.conv(F.substring("chunk", 1, 8), 16, 10).cast("long") % 500).alias("vec_id")
-    return chunks.select(F.col("chunk").alias("id"), pick).join(F.broadcast(e), "vec_id").select("id", "v")  # 500 rows
+    """(id = chunk, v): every chunk has the vector that its hash picks among all rows."""
+    e, n = placed_vectors(spark, sf_dir)
+    pick = (F.conv(F.substring("chunk", 1, 8), 16, 10).cast("long") % max(n, 1)).alias("at")
+    return chunks.select(F.col("chunk").alias("id"), pick).join(e, "at").select("id", "v")
 
 
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 500").select("vec_id", F.col("embedding").alias("v"))
-    return asked(spark, sf_dir).select("qid", (F.col("qid") % 500).alias("vec_id")).join(F.broadcast(e), "vec_id").select("qid", "v")
+    e, n = placed_vectors(spark, sf_dir)
+    return asked(spark, sf_dir).select("qid", F.pmod("qid", F.lit(max(n, 1))).alias("at")).join(e, "at").select("qid", "v")
 
 
 def lexical_lane(spark, sf_dir, c: corpus.Corpus, locs: DataFrame, weight: float = 1.0) -> fusion.Lane:
