@@ -219,3 +219,25 @@ def test_chunks_and_queries_reach_every_vector(spark, tmp_path):
     got = catalogue.chunk_vectors(spark, str(tmp_path), spark.createDataFrame([(c,) for c in ids], "chunk string")).collect()
     assert {r["id"]: r["v"][0] for r in got} == {c: float(int(c[:8], 16) % n) for c in ids} and len(got) == 300
     assert {r["qid"]: r["v"][0] for r in catalogue.query_vectors(spark, str(tmp_path)).collect()} == {3: 3.0, 700: 700.0, 1299: 1299.0, 1300: 0.0}
+
+
+def test_recall_and_selection_ask_every_fiftieth_vector(spark, tmp_path):
+    import numpy as np
+
+    from ctxloom.operators import vectors
+    from ctxloom.plans import catalogue
+
+    x = np.random.default_rng(5).normal(size=(301, 6)).astype(np.float32)
+    spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    y = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    asked = range(0, 301, 50)
+    order = {q: sorted(range(301), key=lambda i: (-round(float(y[q] @ y[i]), 6), i)) for q in asked}
+    e = catalogue.table(spark, str(tmp_path), "embeddings").selectExpr("vec_id as id", "embedding as v")
+    index = vectors.Index.build(e, cells=16)
+    want = {}
+    for probes in (1, 4, 8):
+        found = {(r["qid"], r["id"]) for r in index.search(e.where(e["id"].isin(list(asked))).selectExpr("id as qid", "v"), 10, probes).collect()}
+        want[probes] = round(len(found & {(q, i) for q in asked for i in order[q][:10]}) / 70, 6)
+    assert {r["probes"]: r["recall"] for r in catalogue.ann_recall_at_k(spark, str(tmp_path)).collect()} == want
+    picked = [(r["qid"], r["chunk"]) for r in catalogue.mmr_select(spark, str(tmp_path)).collect()]
+    assert {q for q, _ in picked} == set(asked) and len(picked) == 70 and all(i in order[q][:50] for q, i in picked)
