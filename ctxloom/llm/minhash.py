@@ -74,7 +74,7 @@ def band_keys(low: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return mix((m * constants(rows, 303)).sum(axis=1, dtype=np.uint64) + constants(len(m), 404)).view(np.int64)
 
 
-SIGNED = "doc_id long, n_shingles long, class long, sig array<long>, bands array<long>"
+SIGNED = "doc_id long, th long, n_shingles long, class long, sig array<long>, bands array<long>"
 
 
 def _sign(batches):
@@ -95,8 +95,8 @@ def _sign(batches):
                 bands.append(None)
         longs = pa.list_(pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [ids, pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sig, longs), pa.array(bands, longs)],
-            names=["doc_id", "n_shingles", "class", "sig", "bands"])
+            [ids, batch.column("th"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sig, longs), pa.array(bands, longs)],
+            names=["doc_id", "th", "n_shingles", "class", "sig", "bands"])
 
 
 def estimate(a: str, b: str):
@@ -172,8 +172,8 @@ def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, sa
     The rows of a lead follow its own text in one sorted run, so a task holds one set at a time; leads with many
     members are dealt over several runs, each with a copy of the lead's text."""
     many = pairs.groupBy("lead").agg(F.ceil(F.count("*") / salt_at).cast("int").alias("runs"))
-    wanted = stash(pairs.select(F.col("lead").alias("class")).union(pairs.select("member")).distinct().join(reps.select("class", "rep"), "class"), "wanted")
-    text = stash(docs.select(F.col("doc_id").alias("rep"), "text").join(checked(wanted), "rep").select("class", "text"), "texts")
+    wanted = stash(pairs.select(F.col("lead").alias("class")).union(pairs.select("member")).distinct().join(reps.select("class", F.col("from.doc_id").alias("_id"), F.col("from.th").alias("_th")), "class"), "wanted")
+    text = stash(docs.join(checked(wanted), (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("class", "text"), "texts")
     members = pairs.join(many, "lead").select("lead", F.pmod(F.xxhash64("member"), F.col("runs")).cast("int").alias("run"), "member")
     members = members.join(text.withColumnRenamed("class", "member"), "member").select("lead", "run", "member", "text")
     leads = many.select("lead", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), F.lit(None).cast("long").alias("member"))
@@ -188,10 +188,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, keep_above: float = 0.66
 
     percent: the similarity from which documents are linked. keep_above: pairs that the bits estimate below it
     aren't confirmed (over four deviations under 0.75)."""
-    docs = plain(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
+    docs = plain(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("th"))
     signed = stash(docs.mapInArrow(_sign, SIGNED), "signed")
     reps = stash(signed.where("class is not null").groupBy("class").agg(
-        F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "reps")
+        F.min("doc_id").alias("rep"), F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")).alias("from"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "reps")
     found = links(reps, docs, percent, keep_above)
     parts = connected_components(found)
     named = reps.select("class", "rep").join(parts.withColumnRenamed("node", "class"), "class", "left")

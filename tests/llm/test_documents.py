@@ -63,6 +63,18 @@ def test_minhash_equals_brute_force(spark):
     assert sum(k for *_, k in want) < len(rows) - 8
 
 
+def test_null_ids_bridge_two_documents(spark):
+    base = prose(31, 200)
+    x, y = list(base), list(base)
+    x[20:24], y[120:124] = ["xa"] * 4, ["ya"] * 4
+    x[60:64], y[160:164] = ["xb"] * 4, ["yb"] * 4
+    a, b, c = (brute_shingles(" ".join(t)) for t in (x, base, y))
+    assert len(a & c) / len(a | c) < 0.75 <= min(len(a & b) / len(a | b), len(b & c) / len(b | c))
+    rows = [(1, " ".join(x), "a"), (None, " ".join(base), "a"), (3, " ".join(y), "a")]
+    got = {r["doc_id"]: (r["component_id"], r["kept"]) for r in minhash.near_duplicates(table(spark, rows)).collect()}
+    assert got == {1: (1, True), None: (None, True), 3: (1, False)}
+
+
 def test_minhash_estimate_follows_similarity():
     a, b = np.arange(4000, dtype=np.uint64), np.arange(800, 4800, dtype=np.uint64)
     x, y = (minhash.packed(minhash.minima(common.mix(s))).view(np.uint64) for s in (a, b))
