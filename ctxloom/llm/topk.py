@@ -11,6 +11,7 @@ A task holds one block of candidates and one of queries, whatever the tables' si
 
 Defined cases: vectors that are null, empty, of another length than most, or hold null or non-finite components take no part,
 neither as query nor as candidate. Repeated rows are candidates of their own; a query leaves out all rows of its own id.
+Query rows that share an id but not a vector are all asked, and the best k of them together are the id's.
 Extra columns are ignored. An empty table gives an empty result.
 """
 
@@ -106,7 +107,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, lead: int = 16, blo
     whole = F.transform("v", lambda x: F.floor(x * QUANTUM).cast("double"))
     rows = stash(rows.select(F.col("vec_id").cast("long"), whole.alias("v")), "quantised")
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    asked = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
+    asked = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"])
     n, m = rows.count(), asked.count()
     cells, asks = max(1, -(-n // block)), max(1, -(-m // queries))
     # Blocks of candidates by falling length: the bounds between them come from quantiles of the length.

@@ -38,6 +38,13 @@ def test_topk_equals_brute_force(spark):
     assert topk.top_k(vectors(spark, [(100, x[0]), (1, x[1])])).count() == 1
 
 
+def test_topk_asks_every_vector_of_a_repeated_id(spark):
+    x = np.eye(4, dtype=np.float32)
+    rows = [(100, x[0]), (100, x[1]), (1, 3 * x[0]), (2, 2 * x[1]), (3, x[2])]
+    got = [(r["query_id"], r["vec_id"], r["score"]) for r in topk.top_k(vectors(spark, rows), k=2, lead=2).orderBy("rank").collect()]
+    assert got == [(100, 1, 3 * 1024 * 1024), (100, 2, 2 * 1024 * 1024)]
+
+
 def test_multi_index_finds_all_links(spark):
     base = some(300, 16, 2)
     r = np.random.default_rng(5)
