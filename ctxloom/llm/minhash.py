@@ -183,19 +183,24 @@ def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, sa
     return runs.select("lead", "member", "text").mapInArrow(_confirm(percent), "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, keep_above: float = 0.66) -> DataFrame:
-    """documents (doc_id, text) -> doc_id, n_shingles, component_id, kept.
-
-    percent: the similarity from which documents are linked. keep_above: pairs that the bits estimate below it
-    aren't confirmed (over four deviations under 0.75)."""
+def components(docs: DataFrame, percent: int = 75, keep_above: float = 0.66) -> tuple[DataFrame, DataFrame]:
+    """documents -> signed rows (doc_id, th, n_shingles, class), and of each class (class, root, rep, from)."""
     docs = plain(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("th"))
     signed = stash(docs.mapInArrow(_sign, SIGNED), "signed")
     reps = stash(signed.where("class is not null").groupBy("class").agg(
         F.min("doc_id").alias("rep"), F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")).alias("from"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "reps")
     found = links(reps, docs, percent, keep_above)
     parts = connected_components(found)
-    named = reps.select("class", "rep").join(parts.withColumnRenamed("node", "class"), "class", "left")
-    named = named.select("class", "rep", F.coalesce("root", "class").alias("root"))
+    named = reps.select("class", "rep", "from").join(parts.withColumnRenamed("node", "class"), "class", "left")
+    return signed.select("doc_id", "th", "n_shingles", "class"), named.select("class", "rep", "from", F.coalesce("root", "class").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, keep_above: float = 0.66) -> DataFrame:
+    """documents (doc_id, text) -> doc_id, n_shingles, component_id, kept.
+
+    percent: the similarity from which documents are linked. keep_above: pairs that the bits estimate below it
+    aren't confirmed (over four deviations under 0.75)."""
+    signed, named = components(docs, percent, keep_above)
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "root").select("class", "component_id")
     out = signed.select("doc_id", "n_shingles", "class").join(named, "class", "left")
@@ -204,9 +209,22 @@ def near_duplicates(docs: DataFrame, percent: int = 75, keep_above: float = 0.66
 
 
 def keep_one(docs: DataFrame, **parameters) -> DataFrame:
-    """documents -> the rows, with all their columns, of one document of each group. Rows of a null doc_id stay."""
-    gone = stash(near_duplicates(docs, **parameters).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(checked(gone), docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    """documents -> the rows, with all their columns, of one row of each group: the least id, then text hash, null ids last.
+
+    A row is told by its id and text; of rows that repeat both, one stays. Rows without words stay."""
+    signed, named = components(docs, **parameters)
+    heads = named.groupBy("root").agg(F.min("from").alias("head"))
+    rows = signed.where("class is not null").groupBy("doc_id", "th", "class").agg(F.count("*").alias("n"))
+    rows = rows.join(named.join(heads, "root").select("class", "head"), "class")
+    head = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("th") == F.col("head.th"))
+    told = stash(rows.where(~head | (F.col("n") > 1)).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), head.alias("_head")), "gone")
+    # Only rows in `told` go, or stay once; the others aren't shuffled where it is small.
+    own = docs.withColumn("_h", F.xxhash64("text"))
+    same = (F.col("_h") == F.col("_th")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+    rest = own.join(checked(told), same, "left_anti").drop("_h")
+    again = stash(told.where("_head"), "again")
+    once = own.join(checked(again), same).dropDuplicates(["_id", "_th"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rest.unionByName(once)
 
 
 def links(reps: DataFrame, docs: DataFrame, percent: int, keep_above: float, block: int = 1024) -> DataFrame:

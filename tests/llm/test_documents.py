@@ -75,6 +75,19 @@ def test_null_ids_bridge_two_documents(spark):
     assert got == {1: (1, True), None: (None, True), 3: (1, False)}
 
 
+def test_keep_one_decides_by_row(spark):
+    import corpus_pipeline
+
+    base, clean = prose(41, 200), " ".join(prose(42, 200))
+    near = " ".join(edited(base, 3, 0.02))
+    alone = " ".join(prose(43, 200))
+    rows = [(1, " ".join(base), "a"), (2, near, "a"), (2, clean, "b"), (5, alone, "a"), (5, alone, "a"), (None, near, "c"), (None, alone, "c"), (None, " ".join(prose(44, 90)), "c"), (7, "", "a"), (8, None, "a")]
+    got = corpus_pipeline.dedup_documents(spark, table(spark, rows), "")
+    assert got.columns == table(spark, rows).columns
+    want = [(1, rows[0][1]), (2, clean), (5, alone), (None, rows[7][1]), (7, ""), (8, None)]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got.collect()))) == sorted(map(str, want))
+
+
 def test_minhash_estimate_follows_similarity():
     a, b = np.arange(4000, dtype=np.uint64), np.arange(800, 4800, dtype=np.uint64)
     x, y = (minhash.packed(minhash.minima(common.mix(s))).view(np.uint64) for s in (a, b))
