@@ -95,6 +95,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; by sorting, which for whole numbers is quicker than np.unique's hash table."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def constants(n: int, salt: int) -> np.ndarray:
     """n odd 64-bit constants, the same on every machine."""
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(salt)) | np.uint64(1)
@@ -196,6 +202,11 @@ def plain(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def masked(df: DataFrame, *names: str) -> DataFrame:
+    """df whose columns other than `names` are called extra_0, extra_1, ...: whatever they were called, no operator's own column meets them. toDF() gives them their names back."""
+    return df.toDF(*[c if c in names else f"extra_{i}" for i, c in enumerate(df.columns)])
+
+
 def held_out(doc_id: str = "doc_id"):
     """Rows whose labels no classifier may learn from: crc32 of the id as text, mod 3, is 1."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -179,18 +179,35 @@ def test_registered_lines_that_differ_in_numbers_stay(spark, tmp_path):
     assert kept[2].startswith("invoice 99 total 3\nReouti anatha. 19")
 
 
-def test_block_keys_meet_within_the_distance(spark):
+def test_edit_distance_in_bits():
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
     r = np.random.default_rng(3)
-    pairs = []
-    for _ in range(60):
-        a = int(r.integers(-(2**63), 2**63 - 1))
-        b = a
-        for bit in r.choice(64, 2, replace=False):
-            b ^= 1 << int(bit) if bit < 63 else -(1 << 63)
-        pairs.append((a, b))
-    df = spark.createDataFrame(pairs, "a long, b long")
-    hit = df.select(F.size(F.array_intersect(lines.block_keys(F.col("a"), 2, 4), lines.block_keys(F.col("b"), 2, 4))).alias("n"))
-    assert min(x[0] for x in hit.collect()) >= 1
+    for _ in range(400):
+        a, b = ("".join(r.choice(list("abé"), r.integers(0, 90))) for _ in "ab")
+        assert lines.edits(a, b) == plain(a, b)
+        x, y = a.replace("a", " ").split(), b.replace("a", " ").split()
+        if x and y:
+            most = max(len(" ".join(z)) for z in (x, y)) // 10
+            assert lines.alike(x, y, 0.9) == (plain(" ".join(x), " ".join(y)) <= most)
+
+
+def test_clashing_names_stay(spark):
+    names = ["_id", "_h", "dropped", "_size", "_gone", "a.b", "row", "th", "k1", "key"]
+    rows = [(1, "one line that repeats here\nand one of its own", "a", 2, *names), (2, "one line that repeats here\nanother of its own", "b", 2, *names), (2, "one line that repeats here\nanother of its own", "b", 2, *names)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    kept = lines.keep_lines(df)
+    assert kept.columns == df.columns and {tuple(r)[4:] for r in kept.collect()} == {tuple(names)}
+    assert sorted(r["text"] for r in kept.collect()) == ["another of its own", "another of its own", "one line that repeats here\nand one of its own"]
+    for stage in (minhash.keep_one, mixing.take):
+        out = stage(df)
+        assert out.columns == df.columns and {tuple(r)[4:] for r in out.collect()} <= {tuple(names)}
 
 
 def brute_spans(t):
