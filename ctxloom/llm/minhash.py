@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ctxloom.llm.common import FOLD, Words, checked, connected_components, constants, drop, matrix, mix, plain, runs, stash, texts_in_chunks
+from ctxloom.llm.common import FOLD, Words, checked, connected_components, constants, distinct, drop, matrix, mix, plain, runs, stash, texts_in_chunks
 
 SHINGLE, HASHES, BANDED, ROWS, BITS = 5, 512, 128, 4, 2
 ODD_BITS = 0x5555555555555555
@@ -40,7 +40,7 @@ def shingle_sets(column, width: int = SHINGLE):
         for i in range(len(offsets) - 1):
             a, b = w.first[i], w.first[i + 1]
             if b - a >= width:
-                yield at + i, np.unique(s[a : b - width + 1])
+                yield at + i, distinct(s[a : b - width + 1])
             elif b > a:
                 with np.errstate(over="ignore"):
                     yield at + i, mix(np.array([(h[a:b] * coef[: b - a]).sum() + np.uint64(b - a)], dtype=np.uint64))
