@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ctxloom.operators.lexical import ranked
 
 LADDER = (1000, 4000, 16000)
-QUERY_BLOCK = 2048
+BLOCK, QUERY_BLOCK = 8192, 2048
 
 
 class NotReady(RuntimeError):
@@ -30,62 +30,120 @@ def require_all(chunks: DataFrame, vectors: DataFrame) -> None:
         raise NotReady("some chunks have no vector yet")
 
 
-def _scan(ids: list, q: np.ndarray, places: int, keep: int | None):
-    def run(batches):
-        import pyarrow as pa
+def unit(rows) -> np.ndarray:
+    """A column of vectors -> a matrix of doubles, each row of length 1 (or 0)."""
+    v = np.stack([np.asarray(r, dtype=np.float64) for r in rows])
+    norm = np.sqrt((v * v).sum(axis=1))
+    return v / np.where(norm > 0, norm, 1)[:, None]
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            v = np.array(batch.column("v").to_pylist(), dtype=np.float64)
-            norm = np.sqrt((v * v).sum(axis=1))
-            s = np.round(q @ (v / np.where(norm > 0, norm, 1)[:, None]).T, places)
-            if keep is not None and s.shape[1] > keep:
-                cut = np.partition(s, s.shape[1] - keep, axis=1)[:, s.shape[1] - keep]
-                x, y = np.nonzero(s >= cut[:, None])  # with ties, so that ids decide later
-            else:
-                x, y = (a.ravel() for a in np.indices(s.shape))
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in x], pa.int64()), batch.column("id").take(pa.array(y)), pa.array(s[x, y])], names=["qid", "id", "score"])
+
+def _scored(keep: int | None, places: int, sides: bool):
+    """A block of vectors and a block of queries -> the `keep` best of each query (and side), with ties, so that ids decide later."""
+
+    def run(v, q):
+        import pandas as pd
+
+        out = {"qid": [], "id": [], "score": []} | ({"side": []} if sides else {})
+        if len(v) and len(q):
+            for side, part in v.groupby("side") if sides else [(None, v)]:
+                s = np.round(unit(q["v"]) @ unit(part["v"]).T, places)
+                if keep is not None and s.shape[1] > keep:
+                    cut = np.partition(s, s.shape[1] - keep, axis=1)[:, s.shape[1] - keep]
+                    x, y = np.nonzero(s >= cut[:, None])
+                else:
+                    x, y = (i.ravel() for i in np.indices(s.shape))
+                out["qid"].append(q["qid"].to_numpy()[x])
+                out["id"].append(part["id"].to_numpy()[y])
+                out["score"].append(s[x, y])
+                if sides:
+                    out["side"].append(np.full(len(x), side, dtype=object))
+        return pd.DataFrame({c: np.concatenate(a) if a else [] for c, a in out.items()})
 
     return run
 
 
+def _met(v: DataFrame, q: DataFrame, by: list[str], keep: int | None, places: int) -> DataFrame:
+    v, q = (df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (v, q))  # both may come from one table
+    sides = "side" in v.columns
+    kind = f"qid {q.schema['qid'].dataType.simpleString()}, id {v.schema['id'].dataType.simpleString()}, score double" + (", side string" if sides else "")
+    run = _scored(keep, places, sides)
+    return v.groupBy(*by).cogroup(q.groupBy(*by)).applyInPandas(lambda a, b: run(a, b), kind)
+
+
 def cosine(vectors: DataFrame, queries: DataFrame, keep: int | None = None, places: int = 6) -> DataFrame:
-    """vectors (id, v), queries (qid, v) -> (qid, id, score). Queries run in blocks; keep: the best of each task alone."""
-    rows = [(r[0], r[1]) for r in queries.select("qid", "v").toLocalIterator()]
-    kind = f"qid long, id {vectors.schema['id'].dataType.simpleString()}, score double"
-    out = None
-    for at in range(0, len(rows), QUERY_BLOCK):
-        part = rows[at : at + QUERY_BLOCK]
-        q = np.array([v for _, v in part], dtype=np.float64)
-        q /= np.maximum(np.sqrt((q * q).sum(axis=1)), 1e-300)[:, None]
-        found = vectors.select("id", "v").mapInArrow(_scan([i for i, _ in part], q, places, keep), kind)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else vectors.sparkSession.createDataFrame([], kind)
+    """vectors (id, v, perhaps side), queries (qid, v) -> (qid, id, score, perhaps side).
+
+    Both are dealt in blocks, and a task scores a block of each; keep: the best of each query (and side) in a block alone."""
+    blocks, asks = max(1, -(-vectors.count() // BLOCK)), max(1, -(-queries.count() // QUERY_BLOCK))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    sides = ["side"] if "side" in vectors.columns else []
+    v = vectors.select("id", "v", *sides, dealt("id", blocks).alias("b"), every(asks).alias("a"))
+    q = queries.select("qid", "v", every(blocks).alias("b"), dealt("qid", asks).alias("a"))
+    return _met(v, q, ["b", "a"], keep, places)
 
 
 def exact_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(qid, id, score, rank): best first, ties to the smaller id."""
-    return ranked(cosine(vectors, queries, keep=k), ["qid"], F.desc("score"), "id", k=k)
+    """(qid, id, score, rank): best first, ties to the smaller id; with a side, the k best of each."""
+    by = ["qid", *(["side"] if "side" in vectors.columns else [])]
+    return ranked(cosine(vectors, queries, keep=k), by, F.desc("score"), "id", k=k)
+
+
+def visible(vectors: DataFrame, locations: DataFrame) -> DataFrame:
+    """vectors (id, v) -> those that the locations show, once for each side they are on."""
+    return vectors.join(locations.select(F.col("chunk").alias("id"), "side").distinct(), "id")
+
+
+def nearest_visible(vectors: DataFrame, queries: DataFrame, locations: DataFrame, k: int) -> DataFrame:
+    """The exact lane: (qid, side, chunk, score, rank), the k best of each side that the branch shows."""
+    return exact_top(visible(vectors, locations), queries, k).select("qid", "side", F.col("id").alias("chunk"), "score", "rank")
+
+
+def _near(centroids: np.ndarray, x: np.ndarray, probes: int) -> np.ndarray:
+    """The `probes` nearest cells of each row."""
+    return np.argsort(-(x @ centroids.T - (centroids * centroids).sum(axis=1) / 2), axis=1, kind="stable")[:, :probes]
+
+
+def reach(x: np.ndarray, centroids: np.ndarray, k: int = 10, target: float = 0.95, asked: int = 256) -> int:
+    """How many cells a search has to look into for the k nearest, by cosine, at the target recall; told by brute force inside a bounded sample."""
+    u = unit(list(x))
+    own = _near(centroids, x, 1)[:, 0]
+    q = np.arange(0, len(x), max(1, len(x) // asked))
+    true = np.argsort(-(u[q] @ u.T), axis=1)[:, :k]
+    place = np.argsort(_near(centroids, x[q], len(centroids)), axis=1)  # of each cell: how near it is
+    needed = np.sort(np.take_along_axis(place, own[true], axis=1).ravel())
+    return int(needed[min(len(needed) - 1, int(np.ceil(target * len(needed))) - 1)]) + 1
+
+
+def stored(vectors: DataFrame, precision: str) -> DataFrame:
+    """The vectors as the index keeps them: f32, or unit vectors in steps of 1/127 (i8), which search about as well at a quarter of the size."""
+    if precision == "f32":
+        return vectors
+    if precision != "i8":
+        raise ValueError(f"no such precision: {precision}")
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return vectors.withColumn("v", F.transform("v", lambda x: F.when(norm > 0, F.round(x / norm * 127)).otherwise(0.0).cast("tinyint")))
 
 
 @dataclass
 class Index:
-    """Cells of vectors around centroids. coverage: the count and the largest id it was built from."""
+    """Cells of vectors around centroids. coverage: the count and the largest id it was built from; probes: how many cells reach the recall it was built for."""
 
     centroids: np.ndarray
     cells: DataFrame
     coverage: tuple[int, object]
+    probes: int
 
     @staticmethod
-    def build(vectors: DataFrame, cells: int = 32, sample: int = 20_000, rounds: int = 10) -> Index:
+    def build(vectors: DataFrame, cells: int = 32, sample: int = 20_000, rounds: int = 10, recall: float = 0.95, precision: str = "f32") -> Index:
+        """Centroids and the number of cells to look into come from a bounded sample; every vector is in a cell."""
         n, top = vectors.agg(F.count("*"), F.max("id")).first()
         if not n:
             raise NotReady("no vector to index")
-        x = np.array([r[0] for r in vectors.orderBy(F.xxhash64("id")).limit(sample).select("v").collect()], dtype=np.float64)  # a bounded sample
+        x = np.array([r[0] for r in vectors.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").collect()], dtype=np.float64)  # a bounded sample
         c = x[: min(cells, len(x))].copy()
         for _ in range(rounds):
-            own = (x @ c.T - (c * c).sum(axis=1) / 2).argmax(axis=1)
+            own = _near(c, x, 1)[:, 0]
             for j in range(len(c)):
                 if (own == j).any():
                     c[j] = x[own == j].mean(axis=0)
@@ -95,17 +153,16 @@ class Index:
 
             for batch in batches:
                 v = np.array(batch.column("v").to_pylist(), dtype=np.float64).reshape(-1, c.shape[1])
-                own = (v @ c.T - (c * c).sum(axis=1) / 2).argmax(axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(own, pa.int32())], names=["id", "v", "cell"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(_near(c, v, 1)[:, 0], pa.int32())], names=["id", "v", "cell"])
 
         kind = f"id {vectors.schema['id'].dataType.simpleString()}, v {vectors.schema['v'].dataType.simpleString()}, cell int"
-        return Index(c, vectors.select("id", "v").mapInArrow(place, kind), (n, top))
+        return Index(c, stored(vectors.select("id", "v").mapInArrow(place, kind), precision), (n, top), reach(x, c, target=recall))
 
     def save(self, path: str) -> None:
         """Cells first; what they cover is written after they have landed."""
         self.cells.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/cells")
         spark = self.cells.sparkSession
-        told = json.dumps({"centroids": self.centroids.tolist(), "count": self.coverage[0], "top": self.coverage[1]})
+        told = json.dumps({"centroids": self.centroids.tolist(), "count": self.coverage[0], "top": self.coverage[1], "probes": self.probes})
         spark.createDataFrame([(told,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/coverage")
 
     @staticmethod
@@ -118,34 +175,43 @@ class Index:
         now = tuple(vectors.agg(F.count("*"), F.max("id")).first())
         if (told["count"], told["top"]) != now:
             raise NotReady("the index is stale: it covers other vectors")
-        return Index(np.array(told["centroids"]), spark.read.parquet(f"{path}/cells"), now)
+        return Index(np.array(told["centroids"]), spark.read.parquet(f"{path}/cells"), now, told["probes"])
 
     def search(self, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
-        """Exact scores over the `probes` nearest cells of each query; all cells by default, which is the exact scan."""
-        probes = min(probes or len(self.centroids), len(self.centroids))
-        if probes == len(self.centroids):
-            return exact_top(self.cells, queries, k)
-        rows = queries.select("qid", "v").collect()
-        by_cell: dict[int, list] = {}
-        for r in rows:
-            d = self.centroids @ np.array(r[1]) - (self.centroids**2).sum(axis=1) / 2
-            for j in np.argsort(-d)[:probes]:
-                by_cell.setdefault(int(j), []).append(r[0])
-        wanted = queries.sparkSession.createDataFrame([(q, j) for j, qs in by_cell.items() for q in qs], "qid long, cell int")
-        hit = self.cells.join(F.broadcast(wanted.join(queries, "qid").select("qid", "cell", F.col("v").alias("q"))), "cell")
-        dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-        score = dot(F.col("v"), F.col("q")) / F.sqrt(dot(F.col("v"), F.col("v")) * dot(F.col("q"), F.col("q")))
-        return ranked(hit.select("qid", "id", F.round(score, 6).alias("score")), ["qid"], F.desc("score"), "id", k=k)
+        """The k best by exact scores over the `probes` nearest cells of each query; by default as many as reach the recall the index was built for.
+
+        A cell is dealt in parts of about BLOCK vectors, and a query goes to the parts of its cells alone."""
+        c, probes = self.centroids, min(probes or self.probes, len(self.centroids))
+        parts = max(1, -(-self.coverage[0] // (BLOCK * len(c))))
+
+        def choose(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                near = _near(c, np.array(batch.column("v").to_pylist(), dtype=np.float64).reshape(-1, c.shape[1]), probes)
+                rows = pa.array(np.repeat(np.arange(batch.num_rows), probes))
+                yield pa.RecordBatch.from_arrays([batch.column("qid").take(rows), batch.column("v").take(rows), pa.array(near.ravel(), pa.int32())], names=["qid", "v", "cell"])
+
+        kind = f"qid {queries.schema['qid'].dataType.simpleString()}, v {queries.schema['v'].dataType.simpleString()}, cell int"
+        asked = queries.select("qid", "v").mapInArrow(choose, kind)
+        asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        cells = self.cells.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+        return ranked(_met(cells, asked, ["cell", "part"], k, 6), ["qid"], F.desc("score"), "id", k=k)
 
 
 def laddered(index: Index, queries: DataFrame, locations: DataFrame, k: int, probes: int | None = None) -> DataFrame:
-    """The k best visible of each side among 1000, then 4000, then 16000 neighbours: of each query the first rung that fills both sides, or the last."""
-    deep = index.search(queries, LADDER[-1], probes)
-    seen = deep.join(locations.select(F.col("chunk").alias("id"), "side").distinct(), "id")
-    taken = None
-    for n, rung in enumerate(LADDER):
-        top = ranked(seen.where(F.col("rank") <= rung).drop("rank"), ["qid", "side"], F.desc("score"), "id", k=k).withColumn("rung", F.lit(n))
+    """The k best visible of each side among 1000, then 4000, then 16000 neighbours. Only queries with a side unfilled climb, and none beyond the vectors there are."""
+    sides = locations.select(F.col("chunk").alias("id"), "side").distinct()
+    left, taken = queries, None
+    for rung in LADDER:
+        last = rung == LADDER[-1] or rung >= index.coverage[0]
+        seen = index.search(left, rung, probes).drop("rank").join(sides, "id")
+        top = ranked(seen, ["qid", "side"], F.desc("score"), "id", k=k)
+        if not last:
+            top = top.persist()
+            full = top.where(F.col("rank") == k).groupBy("qid").count().where("count = 2").select("qid")
+            left, top = left.join(full, "qid", "left_anti"), top.join(full, "qid", "left_semi")
         taken = top if taken is None else taken.unionByName(top)
-    counts = taken.groupBy("qid", "rung", "side").count().groupBy("qid", "rung").agg(F.sum((F.col("count") >= k).cast("int")).alias("full"))
-    first = counts.groupBy("qid").agg(F.coalesce(F.min(F.when(F.col("full") == 2, F.col("rung"))), F.max("rung")).alias("rung"))
-    return taken.join(first, ["qid", "rung"]).select("qid", "side", F.col("id").alias("chunk"), "score", "rank")
+        if last or left.isEmpty():
+            break
+    return taken.select("qid", "side", F.col("id").alias("chunk"), "score", "rank")

@@ -76,9 +76,13 @@ def lexical_lane(spark, sf_dir, c: corpus.Corpus, locs: DataFrame, weight: float
 
 
 def vector_lane(spark, sf_dir, c: corpus.Corpus, locs: DataFrame, weight: float = 1.0) -> fusion.Lane:
-    seen = c.chunks.join(locs.select("chunk").distinct(), "chunk", "left_semi")
-    s = vectors.cosine(chunk_vectors(spark, sf_dir, seen), query_vectors(spark, sf_dir)).withColumnRenamed("id", "chunk")
-    top = fusion.visible_top(s, locs, K)
+    top = vectors.nearest_visible(chunk_vectors(spark, sf_dir, c.chunks), query_vectors(spark, sf_dir), locs, K)
+    return fusion.Lane(top, [fusion.files_by_first_chunk(top, locs)], weight)
+
+
+def ann_lane(spark, sf_dir, c: corpus.Corpus, locs: DataFrame, weight: float = 1.0) -> fusion.Lane:
+    index = vectors.Index.build(chunk_vectors(spark, sf_dir, c.chunks), cells=16)
+    top = vectors.laddered(index, query_vectors(spark, sf_dir), locs, K)
     return fusion.Lane(top, [fusion.files_by_first_chunk(top, locs)], weight)
 
 
@@ -86,7 +90,7 @@ def route(spark, sf_dir, *kinds: str):
     """-> corpus, locations on main, fused files, fused chunks."""
     c = corpus_of(spark, sf_dir)
     locs = c.locations("main")
-    make = {"lexical": lexical_lane, "vector": vector_lane}
+    make = {"lexical": lexical_lane, "vector": vector_lane, "ann": ann_lane}
     lanes = [make[k](spark, sf_dir, c, locs, HYBRID if k == "lexical" and len(kinds) > 1 else 1.0) for k in kinds]
     files = fusion.fused_files(lanes)
     return c, locs, files, fusion.fused_chunks(lanes, files, locs, K)
@@ -294,10 +298,10 @@ def lexical_route_files(spark, d):
 
 @query("vector_exact_topk", """
 select qid, id, score, rank from (select *, row_number() over (partition by qid order by score desc, id) as rank
-from (select a.vec_id as qid, b.vec_id as id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as score from embeddings a, embeddings b where a.vec_id < 10)) where rank <= 10""")
+from (select a.vec_id as qid, b.vec_id as id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as score from embeddings a, embeddings b where a.vec_id % 50 = 0)) where rank <= 10""")
 def vector_exact_topk(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return vectors.exact_top(e, e.where("id < 10").select(F.col("id").alias("qid"), "v"), 10)
+    return vectors.exact_top(e, e.where("id % 50 = 0").select(F.col("id").alias("qid"), "v"), 10)
 
 
 @query("vector_route_chunks", f"{VEC_ROUTE} select * from fc")
@@ -313,7 +317,7 @@ def vector_route_files(spark, d):
 @query("ann_full_probe", ORACLE_SQL["vector_exact_topk"])
 def ann_full_probe(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return vectors.Index.build(e, cells=16).search(e.where("id < 10").select(F.col("id").alias("qid"), "v"), 10)
+    return vectors.Index.build(e, cells=16).search(e.where("id % 50 = 0").select(F.col("id").alias("qid"), "v"), 10, probes=16)
 
 
 @query("ann_recall_at_k", None)
@@ -328,11 +332,28 @@ def ann_recall_at_k(spark, d):
     return out
 
 
-@query("ann_route_chunks", f"{VEC_ROUTE} select qid, side, chunk, score, rank from vx")
+@query("ann_calibrated_recall", None)
+def ann_calibrated_recall(spark, d):
+    """The share of the true neighbours that a search at its calibrated number of cells finds, by how the index keeps its vectors."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    q = e.where("id % 50 = 0").select(F.col("id").alias("qid"), "v")
+    exact, out = vectors.exact_top(e, q, 10).select("qid", "id"), None
+    for precision in ("f32", "i8"):
+        index = vectors.Index.build(e, cells=16, precision=precision)
+        hit = exact.join(index.search(q, 10).select("qid", "id", F.lit(1).alias("hit")), ["qid", "id"], "left")
+        hit = hit.agg(F.lit(precision).alias("precision"), F.lit(index.probes).alias("probes"), F.lit(len(index.centroids)).alias("cells"), F.round(F.count("hit") / F.count("*"), 6).alias("recall"))
+        out = hit if out is None else out.unionByName(hit)
+    return out
+
+
+@query("ann_route_chunks", None)
 def ann_route_chunks(spark, d):
-    c = corpus_of(spark, d)
-    v = chunk_vectors(spark, d, c.chunks)
-    return vectors.laddered(vectors.Index.build(v, cells=16), query_vectors(spark, d), c.locations("main"), K)
+    return route(spark, d, "ann")[3]
+
+
+@query("hybrid_ann_chunks", None)
+def hybrid_ann_chunks(spark, d):
+    return route(spark, d, "lexical", "ann")[3]
 
 
 @query("hybrid_chunks", f"{HYB_ROUTE} select * from fc")

@@ -99,7 +99,7 @@ class Engine:
             asked = self._asked(queries)
             v = v.select(F.col("chunk").alias("id"), "v")
             if kind == "vector":
-                top = fusion.visible_top(vectors.cosine(v.join(locs.select(F.col("chunk").alias("id")).distinct(), "id", "left_semi"), asked).withColumnRenamed("id", "chunk"), locs, k)
+                top = vectors.nearest_visible(v, asked, locs, k)
             else:
                 top = vectors.laddered(vectors.Index.open(self.spark, f"{self.root}/ann", v), asked, locs, k, probes)
             lanes.append(fusion.Lane(top, [fusion.files_by_first_chunk(top, locs)], weight))
