@@ -14,12 +14,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; a temporary one only where the session names none."""
+    """The folder that the driver and all executors see. Only a session on one machine may do without: it gets a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = tempfile.mkdtemp(prefix="ctxloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = _local.get(app := spark.sparkContext.applicationId) or _local.setdefault(app, tempfile.mkdtemp(prefix="ctxloom-"))
     return at.rstrip("/")
 
 

@@ -2,7 +2,7 @@
 
 Every text becomes its set of distinct 5-word shingles. Of 512 minima the first 128 give 32 bands of four (a pair
 at similarity 0.75 shares none with a probability of 5e-6), and the two low bits of each are packed into a
-signature of 128 bytes. Bands propose, the collision-corrected bit estimate prunes what is over four deviations
+signature of 128 bytes. Bands propose, the collision-corrected bit estimate prunes what is 3.9 deviations or more
 under the threshold, and full sets confirm.
 
 Texts with equal sets are one class. In a band bucket only links to one leader are tried first, the member that
@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ctxloom.llm.common import FOLD, Words, checked, connected_components, constants, distinct, drop, matrix, mix, plain, runs, stash, texts_in_chunks
+from ctxloom.llm.common import FOLD, Words, checked, connected_components, constants, distinct, drop, masked, matrix, mix, plain, runs, stash, texts_in_chunks
 
 SHINGLE, HASHES, BANDED, ROWS, BITS = 5, 512, 128, 4, 2
 ODD_BITS = 0x5555555555555555
@@ -199,7 +199,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, keep_above: float = 0.66
     """documents (doc_id, text) -> doc_id, n_shingles, component_id, kept.
 
     percent: the similarity from which documents are linked. keep_above: pairs that the bits estimate below it
-    aren't confirmed (over four deviations under 0.75)."""
+    aren't confirmed (3.9 deviations under 0.75)."""
     signed, named = components(docs, percent, keep_above)
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "root").select("class", "component_id")
@@ -219,12 +219,13 @@ def keep_one(docs: DataFrame, **parameters) -> DataFrame:
     head = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("th") == F.col("head.th"))
     told = stash(rows.where(~head | (F.col("n") > 1)).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), head.alias("_head")), "gone")
     # Only rows in `told` go, or stay once; the others aren't shuffled where it is small.
-    own = docs.withColumn("_h", F.xxhash64("text"))
-    same = (F.col("_h") == F.col("_th")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
-    rest = own.join(checked(told), same, "left_anti").drop("_h")
+    own = masked(docs, "doc_id", "text").withColumn("own_th", F.xxhash64("text"))
+    names = [c for c in own.columns if c != "own_th"]
+    same = (F.col("own_th") == F.col("_th")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+    rest = own.join(checked(told), same, "left_anti").select(*names)
     again = stash(told.where("_head"), "again")
-    once = own.join(checked(again), same).dropDuplicates(["_id", "_th"]).select(*[F.col(f"`{c}`") for c in docs.columns])
-    return rest.unionByName(once)
+    once = own.join(checked(again), same).dropDuplicates(["_id", "_th"]).select(*names)
+    return rest.unionByName(once).toDF(*docs.columns)
 
 
 def links(reps: DataFrame, docs: DataFrame, percent: int, keep_above: float, block: int = 1024) -> DataFrame:

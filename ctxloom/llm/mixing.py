@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ctxloom.llm.common import WORD, checked, plain, stash
+from ctxloom.llm.common import WORD, checked, masked, plain, stash
 
 WEIGHTS = (5.0, 2.0, 1.0)
 FAN = 64
@@ -148,8 +148,9 @@ def mix_documents(docs: DataFrame, **parameters) -> DataFrame:
 
 def take(docs: DataFrame, **parameters) -> DataFrame:
     """documents -> their rows, each as often as the mix takes it. Rows that share id and source are taken alike."""
-    keyed = docs.select("*", words(F.col("text")).alias("_size"))
-    units = keyed.groupBy(F.col("doc_id").cast("long").alias("doc_id"), "source").agg(F.sum("_size").alias("size"))
-    plan = stash(mix(units, **parameters).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("copies").alias("_copies")), "copies")
-    rows = docs.join(checked(plan), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")))
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")).drop("_copy")
+    own = masked(docs, "doc_id", "source", "text")
+    sized = own.select(F.col("doc_id").cast("long").alias("doc_id"), "source", words(F.col("text")).alias("size"))
+    units = sized.groupBy("doc_id", "source").agg(F.sum("size").alias("size"))
+    plan = stash(mix(units, **parameters).where("copies > 0").select(F.col("doc_id").alias("plan_id"), F.col("source").alias("plan_source"), "copies"), "copies")
+    rows = own.join(checked(plan), F.col("doc_id").cast("long").eqNullSafe(F.col("plan_id")) & F.col("source").eqNullSafe(F.col("plan_source")))
+    return rows.select(*own.columns, F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copy").toDF(*docs.columns)
