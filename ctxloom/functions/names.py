@@ -40,6 +40,7 @@ def normalised(names: pd.Series) -> pd.Series:
 
 def eval_symbol(name: Column) -> Column:
     """The evaluation's own normal form: three rounds of innermost brackets, all by regular expressions."""
+    # Fixed patterns: the marks that a signature's parts stand between.
     s = F.split(F.trim(name), "->", 2)[0]
     s = F.regexp_replace(s, r"^\(\s*\*?\s*([A-Za-z_][A-Za-z0-9_]*)\s*\)\.", "$1.")
     for _ in range(3):

@@ -65,12 +65,12 @@ def grep_baseline(files: DataFrame, queries: DataFrame, most: int = 20) -> DataF
     """(path, text) -> (qid, path, score): the sum of idf over the query's 20 rarest identifiers that a file has."""
     terms = queries.select("qid", F.explode(grep_terms(F.col("query"))).alias("term"))
     words = files.select("path", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)))).alias("term"))
-    hit = words.join(F.broadcast(terms.select("term").distinct()), "term")
+    hit = words.join(terms.select("term").distinct(), "term")
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
     total = F.broadcast(files.agg(F.count("*").alias("docs")))
     known = terms.join(df, "term").crossJoin(total).withColumn("idf", F.round(_idf(F.col("docs"), F.col("df")), 9))
     top = ranked(known, ["qid"], F.desc("idf"), "term", k=most)
-    return hit.join(F.broadcast(top.select("qid", "term", "idf")), "term").groupBy("qid", "path").agg(F.round(F.sum("idf"), 6).alias("score"))
+    return hit.join(top.select("qid", "term", "idf"), "term").groupBy("qid", "path").agg(F.round(F.sum("idf"), 6).alias("score"))
 
 
 def bm25_baseline(files: DataFrame, queries: DataFrame) -> DataFrame:
@@ -79,12 +79,12 @@ def bm25_baseline(files: DataFrame, queries: DataFrame) -> DataFrame:
     words = files.select("path", F.explode(F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)), lambda w: F.lower(w))).alias("term"))
     tf = words.groupBy("path", "term").agg(F.count("*").alias("tf"))
     dl = tf.groupBy("path").agg(F.sum("tf").alias("dl"))
-    hit = tf.join(F.broadcast(terms.select("term").distinct()), "term")
+    hit = tf.join(terms.select("term").distinct(), "term")
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
     total = F.broadcast(files.agg(F.count("*").alias("docs")))
-    rows = hit.join(F.broadcast(terms), "term").join(F.broadcast(df), "term").join(dl, "path").crossJoin(total)
+    rows = hit.join(terms, "term").join(df, "term").join(dl, "path").crossJoin(total)
     mean = rows.select("qid", "path", "dl").distinct().groupBy("qid").agg(F.avg("dl").alias("mean"))
-    rows = rows.join(F.broadcast(mean), "qid")
+    rows = rows.join(mean, "qid")
     s = _idf(F.col("docs"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
     return rows.groupBy("qid", "path").agg(F.round(F.sum(s), 6).alias("score"))
 

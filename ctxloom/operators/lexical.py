@@ -40,14 +40,14 @@ def bm25(docs: DataFrame, key: list[str], columns: dict[str, float], queries: Da
     # Documents without a word still count for the mean.
     ids = docs.select(*key).distinct() if several else docs.select(*key)
     total = ids.agg(F.count("*").alias("docs")).crossJoin(length.agg(F.sum("d").alias("words")))  # one row
-    probe = F.broadcast(asked.select("term").distinct())  # the terms of a batch of queries
+    probe = asked.select("term").distinct()  # Spark broadcasts it where its size allows
     hits = seen.select(*key, "f", F.explode(F.array_distinct(emitted(F.col("word")))).alias("term")).join(probe, "term")
     hits = hits.groupBy("term", *key).agg(F.sum("f").alias("f"))
     df = hits.groupBy("term").agg(F.count("*").alias("n"))
     idf = df.crossJoin(F.broadcast(total)).select("term", F.greatest(F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(LEAST_IDF)).alias("idf"), (F.col("words") / F.col("docs")).alias("mean"))
-    part = hits.join(F.broadcast(idf), "term").join(length, key)
+    part = hits.join(idf, "term").join(length, key)
     part = part.withColumn("s", F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("d") / F.col("mean"))))
-    return part.join(F.broadcast(asked), "term").groupBy("qid", *key).agg(F.round(F.sum("s"), 6).alias("score"))
+    return part.join(asked, "term").groupBy("qid", *key).agg(F.round(F.sum("s"), 6).alias("score"))
 
 
 def chunk_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:

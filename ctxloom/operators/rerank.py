@@ -25,7 +25,7 @@ def rerank(chunks: DataFrame, queries: DataFrame, texts: DataFrame, pool: int =
     One pass: a chunk of the pool gets its score beside the row, and windows of a query's side do the rest."""
     asked = queries.select("qid", query_terms(F.col("query")).alias("terms"))  # once a query
     inside = (F.col("rank") <= pool) & F.col("side").isin(*sides)
-    rows = chunks.select("qid", "side", "chunk", "rank", "score").join(texts, "chunk").join(F.broadcast(asked), "qid")
+    rows = chunks.select("qid", "side", "chunk", "rank", "score").join(texts, "chunk").join(asked, "qid")
     rows = rows.select("qid", "side", "chunk", F.col("rank").alias("old"), F.col("score").alias("fused"), inside.alias("inside"),
                        F.when(inside, scorer(F.col("terms"), embed_text(F.col("symbol"), F.col("content"), max_bytes))).alias("s"))
     by = W.partitionBy("qid", "side")

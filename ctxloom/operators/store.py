@@ -24,6 +24,17 @@ def with_ordinals(rows: DataFrame, order: list[str], start: int = 0, name: str =
     return local.join(F.broadcast(offset), "_p").withColumn(name, F.col("_i") + F.col("_o")).drop("_m", "_p", "_i", "_o")  # a row for each partition
 
 
+def with_running(rows: DataFrame, group: str, order: str, value: str, name: str) -> DataFrame:
+    """Adds what the rows of a group before a row sum up to, without bringing a group to one task: ranges, then an offset for each."""
+    dealt = rows.repartitionByRange(group, order).withColumn("_p", F.spark_partition_id())
+    sums = dealt.groupBy(group, "_p").agg(F.sum(value).alias("_s"))
+    past = lambda *by: W.partitionBy(*by).rowsBetween(W.unboundedPreceding, -1)
+    offset = sums.select(F.col(group).alias("_g"), F.col("_p").alias("_q"), F.coalesce(F.sum("_s").over(past(group).orderBy("_p")), F.lit(0)).alias("_o"))
+    local = dealt.withColumn("_i", F.coalesce(F.sum(value).over(past(group, "_p").orderBy(order)), F.lit(0)))
+    out = local.join(offset, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_p") == F.col("_q")))
+    return out.withColumn(name, F.col("_i") + F.col("_o")).drop("_p", "_q", "_g", "_i", "_o")
+
+
 def find_or_insert(stored: DataFrame, rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """rows by key -> (key, ord, inserted): stored ordinals, and new ones behind the largest."""
     new = rows.dropDuplicates([key]).join(stored.select(key), key, "left_anti")

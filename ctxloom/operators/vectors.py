@@ -43,7 +43,8 @@ def _scored(keep: int | None, places: int, sides: bool):
     def run(v, q):
         import pandas as pd
 
-        out = {"qid": [], "id": [], "score": []} | ({"side": []} if sides else {})
+        # The empty beginnings keep the columns' types where nothing follows.
+        out = {"qid": [q["qid"].to_numpy()[:0]], "id": [v["id"].to_numpy()[:0]], "score": [np.zeros(0)]} | ({"side": [np.zeros(0, dtype=object)]} if sides else {})
         if len(v) and len(q):
             for side, part in v.groupby("side") if sides else [(None, v)]:
                 s = np.round(unit(q["v"]) @ unit(part["v"]).T, places)
@@ -57,7 +58,7 @@ def _scored(keep: int | None, places: int, sides: bool):
                 out["score"].append(s[x, y])
                 if sides:
                     out["side"].append(np.full(len(x), side, dtype=object))
-        return pd.DataFrame({c: np.concatenate(a) if a else [] for c, a in out.items()})
+        return pd.DataFrame({c: np.concatenate(a) for c, a in out.items()})
 
     return run
 

@@ -162,10 +162,10 @@ def eval_symbols(spark, d):
 
 @query("embed_text_truncated", """
 select doc_id, strlen(cut)::bigint as n_bytes, md5(cut) as cut_md5 from (
-  select doc_id, left(s, list_max(list_filter(range(0, 101), lambda i: strlen(left(s, i)) <= 100))::integer) as cut
+  select doc_id, case when strlen(s) <= 16384 then s else left(s, list_max(list_filter(range(4096, 16385), lambda i: strlen(left(s, i)) <= 16384))::integer) end as cut
   from (select doc_id, concat(source, chr(10), text) as s from documents))""")
 def embed_text_truncated(spark, d):
-    cut = names.embed_text(F.col("source"), F.col("text"), 100)
+    cut = names.embed_text(F.col("source"), F.col("text"), 16384)
     return table(spark, d, "documents").select("doc_id", F.octet_length(cut).cast("long").alias("n_bytes"), F.md5(cut.cast("binary")).alias("cut_md5"))
 
 
@@ -251,8 +251,7 @@ r as (select lang, chunk, b, coalesce(sum(b) over (partition by lang order by ch
 select lang, (before // 65536)::bigint as batch, count(*) as n, sum(b)::bigint as n_bytes from r group by all""")
 def embed_batches(spark, d):
     p = corpus_of(spark, d).placed.select("lang", "chunk", F.octet_length(F.concat("symbol", F.lit("\n"), "content")).alias("b")).distinct()
-    before = F.coalesce(F.sum("b").over(W.partitionBy("lang").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return p.withColumn("batch", F.floor(before / 65536)).groupBy("lang", "batch").agg(F.count("*").alias("n"), F.sum("b").cast("long").alias("n_bytes"))
+    return store.with_running(p, "lang", "chunk", "b", "before").withColumn("batch", F.floor(F.col("before") / 65536)).groupBy("lang", "batch").agg(F.count("*").alias("n"), F.sum("b").cast("long").alias("n_bytes"))
 
 
 @query("gc_dead_chunks", f"""
@@ -271,7 +270,7 @@ with {sql.PLACED},{sql.CHUNK_BM25} select term, count(*) as n, round(any_value(i
 def df_idf_stats(spark, d):
     c, q = corpus_of(spark, d).chunks, asked(spark, d)
     words = lexical.counted(c, ["chunk"], {"symbol": 2.0, "content": 1.0}).select("chunk", F.explode(F.array_distinct(text.emitted(F.col("word")))).alias("term")).distinct()
-    df = words.join(F.broadcast(lexical.terms_of(q).select("term").distinct()), "term").groupBy("term").agg(F.count("*").alias("n"))
+    df = words.join(lexical.terms_of(q).select("term").distinct(), "term").groupBy("term").agg(F.count("*").alias("n"))
     n = F.broadcast(c.agg(F.count("*").alias("docs")))
     return df.crossJoin(n).select("term", "n", F.round(F.greatest(F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(lexical.LEAST_IDF)), 6).alias("idf"))
 
@@ -467,9 +466,9 @@ def truth_of(spark, d) -> DataFrame:
     f = corpus.files_of(table(spark, d, "documents")).select("path", "text")
     w = split("text")
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 4, F.lit(1))), lambda i: F.concat_ws(" ", F.slice("w", i, F.lit(5))))
-    grams = f.withColumn("w", w).select("path", "text", F.explode(F.array_distinct(grams)).alias("g"))
+    grams = f.withColumn("w", w).select("path", F.explode(F.array_distinct(grams)).alias("g"))
     probe = q.where(F.size("w") >= 7).select("qid", "q", F.concat_ws(" ", F.slice("w", 2, 5)).alias("g"))
-    hit = grams.join(F.broadcast(probe), "g").where(F.contains("text", F.col("q"))).select("qid", F.col("path").alias("item"))
+    hit = grams.join(probe, "g").select("qid", "q", "path").distinct().join(f, "path").where(F.contains("text", F.col("q"))).select("qid", F.col("path").alias("item"))
     few = q.where(F.size("w") < 7).select("qid", "q")
     return hit.unionByName(f.join(F.broadcast(few), F.contains("text", F.col("q"))).select("qid", F.col("path").alias("item"))).distinct()
 
@@ -570,8 +569,10 @@ select lang, count(*) as n, median(n_chars)::double as median_chars, (list(n_cha
 from documents group by lang""".replace("(0.9 * (count(*) - 1))::double::integer", "floor(0.9 * (count(*) - 1))::integer"))
 def dataset_stats(spark, d):
     docs = table(spark, d, "documents")
-    at = docs.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("n_chars", "doc_id"))).join(F.broadcast(docs.groupBy("lang").agg(F.count("*").alias("c"))), "lang")
-    p90 = at.where(F.col("r") == F.floor(F.lit(0.9) * (F.col("c") - 1)) + 1).select("lang", F.col("n_chars").alias("p90_chars"))
+    # Lengths are counted first: the window runs over the distinct lengths of a language, not over its documents.
+    own = W.partitionBy("lang")
+    seen = docs.groupBy("lang", "n_chars").agg(F.count("*").alias("c")).withColumn("r", F.sum("c").over(own.orderBy("n_chars"))).withColumn("n", F.sum("c").over(own))
+    p90 = seen.where(F.col("r") >= F.floor(F.lit(0.9) * (F.col("n") - 1)) + 1).groupBy("lang").agg(F.min("n_chars").alias("p90_chars"))
     return docs.groupBy("lang").agg(F.count("*").alias("n"), F.percentile("n_chars", 0.5).alias("median_chars"), F.sum("n_chars").alias("n_chars")).join(p90, "lang")
 
 

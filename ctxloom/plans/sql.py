@@ -98,10 +98,10 @@ fc as (select qid, side, rank, chunk, score from (select *, row_number() over (p
 
 
 VECTOR = """
-ve as (select row_number() over (order by vec_id) - 1 as at, embedding, count(*) over () as n from embeddings),
-vq as (select item_id as qid, embedding as q from benchmark join ve on at = item_id % n),
-vs0 as (select qid, at, n, round(list_cosine_similarity(q::double[], embedding::double[]), 6) as score from vq, ve),
-vs as (select qid, chunk, score from (select distinct chunk, ('0x' || substr(chunk, 1, 8))::bigint as h from placed) join vs0 on at = h % n)"""
+ve as (select row_number() over (order by vec_id) - 1 as spot, embedding, count(*) over () as n from embeddings),
+vq as (select item_id as qid, embedding as q from benchmark join ve on spot = item_id % n),
+vs0 as (select qid, spot, n, round(list_cosine_similarity(q::double[], embedding::double[]), 6) as score from vq, ve),
+vs as (select qid, chunk, score from (select distinct chunk, ('0x' || substr(chunk, 1, 8))::bigint as h from placed) join vs0 on spot = h % n)"""
 
 GREP = f"""
 gt as (select distinct qid, t as term from (select item_id as qid, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) as t from benchmark)
