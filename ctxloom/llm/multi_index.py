@@ -7,7 +7,7 @@ lies so far off that a partner across it would leave the target recall. A pair i
 the other's cell, and verified by its cosine in double precision.
 
 The border of a cell is the bisector between its centroid and the row's own. A partner at distance d (0.316 at cosine
-0.95) moves across a bisector by d / sqrt(dim) times a normal deviate, so visiting cells within `reach` of those finds the target share
+0.95) moves across a bisector by d / sqrt(spread) times a normal deviate, so visiting cells within `reach` of those finds the target share
 of partners at the threshold, and more of the closer ones.
 
 Codebooks are fitted on a bounded sample: `sample` rows by hash order. Everything else covers all rows. Equal vectors are
@@ -128,6 +128,14 @@ def _verify(least: float, dim: int):
     return run
 
 
+def spread(x: np.ndarray) -> float:
+    """In how many directions the vectors of a sample spread: all of them if each takes an equal share of the variance, 1 if they lie on a line.
+
+    Two near vectors differ along these directions, so a difference of length d goes d / sqrt(spread) along one of them on average; no more than d ever."""
+    share = np.linalg.eigvalsh(np.cov(x.T).reshape(x.shape[1], -1)) if len(x) > 1 else np.zeros(1)
+    return float(max(1.0, share.sum() ** 2 / max((share**2).sum(), 1e-300)))
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = 0.95, deviations: float = 3.0, sample: int = 20_000, per_cell: int = 256, block: int = 4096) -> DataFrame:
     """embeddings (vec_id, embedding) -> vec_id, n_links, component_id, kept."""
     vectors = plain(vectors, "vec_id", "embedding").select(F.col("vec_id").cast("long"), "embedding")
@@ -143,7 +151,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, deviations: float
     dim, half = x.shape[1], x.shape[1] // 2
     k = int(np.clip(round((count / per_cell) ** 0.5), 1, 1024))
     c1, c2 = codebook(x[:, :half], k), codebook(x[:, half:], k)
-    reach = deviations * np.sqrt(2 - 2 * cosine) / np.sqrt(dim)
+    reach = np.sqrt(2 - 2 * cosine) * min(1.0, deviations / np.sqrt(spread(x)))
     dealt = stash(classes.select("cls", "n", "v").mapInArrow(_deal(c1, c2, reach), "cls long, n long, v array<double>, home long, cells array<long>"), "dealt")
     visits = dealt.select(F.explode("cells").alias("cell"), "cls", "n", "v", "home", F.lit(1).alias("side"))
     homes = dealt.select(F.col("home").alias("cell"), "cls", "n", "v", "home", "cells", F.lit(0).alias("side"))

@@ -45,7 +45,7 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[in
 def pack(docs: DataFrame, window: int = 2048, buckets: int = 8, budget: int = 16384, tokens: Column | None = None) -> DataFrame:
     """documents (doc_id, text) -> doc_id, piece, start_token, n_tokens, boundary, batch, slot.
 
-    batch counts from 0 within a boundary; a batch holds budget // boundary pieces."""
+    batch counts from 0 within a boundary; a batch holds budget // boundary pieces, and one where the boundary is over the budget."""
     n = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)) if tokens is None else tokens
     sized = plain(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), n.cast("long").alias("n")).where("n > 0")
     last = F.ceil(F.col("n") / window) - 1
@@ -65,7 +65,7 @@ def pack(docs: DataFrame, window: int = 2048, buckets: int = 8, budget: int = 16
     offsets = sizes.select("boundary", "_shard", F.coalesce(F.sum("count").over(by), F.lit(0)).alias("_offset"))  # 4096 rows a bucket at most
     own = W.partitionBy("boundary", "_shard").orderBy("_key", "doc_id", "piece", "n_tokens")
     placed = placed.withColumn("_at", F.row_number().over(own) - 1).join(F.broadcast(offsets), ["boundary", "_shard"])
-    at, room = F.col("_at") + F.col("_offset"), F.floor(F.lit(budget) / F.col("boundary"))
+    at, room = F.col("_at") + F.col("_offset"), F.greatest(F.floor(F.lit(budget) / F.col("boundary")), F.lit(1))
     return placed.select("doc_id", "piece", "start_token", "n_tokens", "boundary", F.floor(at / room).cast("long").alias("batch"), (at % room).cast("long").alias("slot"))
 
 
