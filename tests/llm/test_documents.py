@@ -179,7 +179,7 @@ def test_registered_lines_that_differ_in_numbers_stay(spark, tmp_path):
     assert kept[2].startswith("invoice 99 total 3\nReouti anatha. 19")
 
 
-def test_edit_distance_in_bits():
+def test_verification_equals_plain_edit_distance(spark):
     def plain(a, b):
         row = list(range(len(b) + 1))
         for i, x in enumerate(a, 1):
@@ -189,13 +189,17 @@ def test_edit_distance_in_bits():
         return row[-1]
 
     r = np.random.default_rng(3)
-    for _ in range(400):
-        a, b = ("".join(r.choice(list("abé"), r.integers(0, 90))) for _ in "ab")
-        assert lines.edits(a, b) == plain(a, b)
-        x, y = a.replace("a", " ").split(), b.replace("a", " ").split()
-        if x and y:
-            most = max(len(" ".join(z)) for z in (x, y)) // 10
-            assert lines.alike(x, y, 0.9) == (plain(" ".join(x), " ".join(y)) <= most)
+    texts = []
+    for i in range(60):
+        w = ["".join(r.choice(list("abcdé"), r.integers(1, 9))) for _ in range(r.integers(6, 40))]
+        v = [x if r.random() > 0.08 else "".join(r.choice(list("abcdé"), r.integers(1, 9))) for x in w]
+        texts += [" ".join(w), " ".join(v[r.integers(0, 2):])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    classes = docs.select(F.col("doc_id").alias("k1"), F.struct(F.lit(False).alias("last"), "doc_id", F.lit(0).alias("line_no"), F.xxhash64("text").alias("th")).alias("first"))
+    pairs = spark.createDataFrame([(i + 1, i) for i in range(0, 120, 2)], "k1 long, l1 long")
+    want = {i for i in range(0, 120, 2) if plain(texts[i], texts[i + 1]) <= max(len(texts[i]), len(texts[i + 1])) // 10}
+    got = {x["dst"] for x in lines.verified(docs, classes, pairs, 0.9, True).collect()}
+    assert got == want and 10 < len(want) < 50
 
 
 def test_clashing_names_stay(spark):
