@@ -309,11 +309,3 @@ def test_packing_fills_batches(spark):
         assert sorted(s) == list(range(len(s))) and len(s) <= 256 // b
         assert len(s) == 256 // b or n == max(x for y, x in slots if y == b)
     assert packing.pack(table(spark, [])).count() == 0
-
-
-def test_differing_words_keep_the_edit_distance(spark):
-    r = np.random.default_rng(8)
-    pairs = [(" ".join(r.choice(["a", "bc", "def"], r.integers(1, 7))), " ".join(r.choice(["a", "bc", "def"], r.integers(1, 7)))) for _ in range(200)] + [("x y", "x y z"), ("x", "x")]
-    df = spark.createDataFrame(pairs, "a string, b string")
-    x, y = lines.differing(F.split("a", " "), F.split("b", " "))
-    assert df.where(F.levenshtein("a", "b") != F.levenshtein(x, y)).count() == 0
