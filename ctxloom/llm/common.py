@@ -64,9 +64,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        # An edge to the least neighbour stays; the other neighbours move to it.
+        small = large.join(low, "u").select(F.when(F.col("v") != F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v")).distinct()
         then = stash(small, "edges")
         drop(now)
         now = then
@@ -78,6 +77,18 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def merged_components(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """parts (node, root), a stashed table, and more links (src, dst) -> (node, root) of both: only the roots that the links join are worked on again."""
+    root = checked(parts)
+    ends = links.join(root.toDF("src", "x"), "src", "left").join(root.toDF("dst", "y"), "dst", "left")
+    over = stash(connected_components(ends.select(F.coalesce("x", "src").alias("src"), F.coalesce("y", "dst").alias("dst"))).toDF("root", "top"), "roots")
+    moved = parts.join(checked(over), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    alone = over.toDF("node", "root").join(parts.select("node"), "node", "left_anti")
+    out = stash(moved.unionByName(alone), "parts")
+    drop(over)
+    return out
+
+
 # --- word hashes over whole Arrow batches -------------------------------------------------------
 
 MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -218,7 +229,7 @@ def held_out(doc_id: str = "doc_id"):
 
 
 #: Rows of a few longs that may be broadcast; more are shuffled.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
 
 
 def checked(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:

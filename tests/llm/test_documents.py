@@ -309,3 +309,12 @@ def test_packing_fills_batches(spark):
         assert sorted(s) == list(range(len(s))) and len(s) <= 256 // b
         assert len(s) == 256 // b or n == max(x for y, x in slots if y == b)
     assert packing.pack(table(spark, [])).count() == 0
+
+
+def test_components_merge_by_roots(spark):
+    r = np.random.default_rng(13)
+    edges = [(int(a), int(b)) for a, b in r.integers(0, 300, (220, 2))]
+    frame = lambda e: spark.createDataFrame(e, "src long, dst long")
+    for cut in (0, 150, 220):
+        parts = common.stash(common.connected_components(frame(edges[:cut])), "t")
+        assert sorted(common.merged_components(parts, frame(edges[cut:])).collect()) == sorted(common.connected_components(frame(edges)).collect())
