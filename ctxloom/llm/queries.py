@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ctxloom.llm import lines, minhash, mixing, multi_index, packing, pii, quality, topk, toxicity, warc
+from ctxloom.llm import conversations, lines, minhash, mixing, multi_index, negatives, packing, pii, quality, substrings, topk, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -54,6 +54,18 @@ def op10_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(_read(spark, sf_dir, "documents"), numbers=True)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(_read(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(_read(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_optimal_packing": op1_optimal_packing,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -65,6 +77,9 @@ QUERIES = {
     "op8_pii_spans": op8_pii_spans,
     "op9_warc_reassembly": op9_warc_reassembly,
     "op10_fuzzy_line_dedup": op10_fuzzy_line_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_substring_dedup": op12_substring_dedup,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -111,4 +126,25 @@ select page_id, n::bigint as payload_bytes, d as payload_digest,
        case when n >= 1000 and page_id < keep then 'revisit' else 'response' end as record_type,
        case when n >= 1000 and page_id < keep then keep end as refers_to from k
 """,
+    "op11_hard_negatives": """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as l, list_transform(embedding, lambda x: floor(256 * x::double)) as e
+           from embeddings where vec_id is not null and label is not null and embedding is not null),
+s as (select a.vec_id as a, c.vec_id as c, a.l = c.l as same, list_inner_product(a.e, c.e)::bigint as score from v a join v c on a.vec_id <> c.vec_id where a.vec_id % 50 = 0),
+p as (select a, c, score from (select *, row_number() over (partition by a order by score desc, c) as r from s where same) where r <= 5),
+n as (select p.a, p.c as p, p.score as ps, s.c as n, s.score as ns, row_number() over (partition by p.a, p.c order by s.score desc, s.c) as r
+      from p join s on s.a = p.a and not same and 50 * p.score <= 100 * s.score and 100 * s.score <= 95 * p.score)
+select a as anchor_id, p as positive_id, r::integer as rank, n as negative_id, ps as positive_score, ns as negative_score from n where r <= 3
+""",
+    "op12_substring_dedup": r"""
+with w as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+g as (select r, i, md5(array_to_string(w[i:i + 34], ' ')) as h from (select r, w, unnest(generate_series(1, len(w) - 34)) as i from w where len(w) >= 35)),
+twice as (select h from g group by h having count(*) > 1),
+gone as (select distinct r, unnest(generate_series(i, i + 34)) as i from g join twice using (h)),
+words as (select r, unnest(generate_series(1, len(w))) as i, unnest(w) as x from w),
+kept as (select r, string_agg(x, ' ' order by i) as t from words anti join gone using (r, i) group by r),
+n as (select r, count(*) as n from gone group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from w left join kept using (r) left join n using (r)
+""",
+    "op13_conversation_repair": conversations.REPAIR_SQL,
 }
