@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from ctxloom.llm.common import Words, checked, constants, drop, masked, mix, plain, powers, stash, texts_in_chunks
 
 WINDOW, GRAM = 35, 12
+#: Bytes of text that are worked on at once (more only where one text is longer).
+CHUNK = 1 << 18
 #: Every byte as it is: words are compared unchanged.
 SAME = np.arange(256, dtype=np.uint8)
 NOTHING = hashlib.sha256(b"").hexdigest()
@@ -85,7 +87,7 @@ def _sign(window: int, gram: int):
 
         for batch in batches:
             n, digests, sizes, values = [], [], [], []
-            for _, buf, offsets in texts_in_chunks(batch.column("text")):
+            for _, buf, offsets in texts_in_chunks(batch.column("text"), CHUNK):
                 w = Words(buf, offsets)
                 starts, anchor, g, _ = anchored(w, window, gram)
                 fresh = np.ones(len(anchor), dtype=bool)
@@ -119,7 +121,7 @@ def _phrases(window: int, gram: int):
 
         for batch in batches:
             own, at = batch.column("own"), 0
-            for _, buf, offsets in texts_in_chunks(batch.column("text")):
+            for _, buf, offsets in texts_in_chunks(batch.column("text"), CHUNK):
                 w = Words(buf, offsets)
                 starts, anchor, g, hashes = anchored(w, window, gram)
                 data, rows = buf.tobytes(), []
@@ -232,6 +234,7 @@ def _cut(window: int, with_text: bool):
                           ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
                           ("factors", pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "words", "ref_doc", "ref_start")])))])
         for batch in batches:
+            out = []
             for i in range(batch.num_rows):
                 text = (batch.column("text")[i].as_py() or "").encode()
                 if _keys(whole_hash(text)) != (batch.column("k1")[i].as_py(), batch.column("k2")[i].as_py()):
@@ -242,10 +245,11 @@ def _cut(window: int, with_text: bool):
                     kept += words[at:x]
                     at = y
                 kept = b" ".join(kept + words[at:])
-                yield pa.RecordBatch.from_pylist([{
+                out.append({
                     "k1": batch.column("k1")[i].as_py(), "k2": batch.column("k2")[i].as_py(), "n_removed": int((b - a).sum()), "kept": kept.decode() if with_text else None,
                     "kept_sha256": hashlib.sha256(kept).hexdigest(), "spans": [{"start": x, "stop": y} for x, y in zip(a.tolist(), b.tolist())],
-                    "factors": [dict(zip(("start", "words", "ref_doc", "ref_start"), f)) for f in factors]}], schema=kind)
+                    "factors": [dict(zip(("start", "words", "ref_doc", "ref_start"), f)) for f in factors]})
+            yield pa.RecordBatch.from_pylist(out, schema=kind)
 
     return run
 
