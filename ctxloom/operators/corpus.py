@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ctxloom.functions.names import chunk_hash
 from ctxloom.functions.paths import is_test, lang_of
+from ctxloom.operators.written import written
 
 EXT = {"de": ".c", "en": ".py", "fr": ".go", "es": ".md"}
 
@@ -25,6 +26,10 @@ class Corpus:
     branch_files: DataFrame
     placed: DataFrame
 
+    def written(self) -> Corpus:
+        """The same tables, written once: what reads them several times doesn't cut and hash the texts again."""
+        return Corpus(written(self.files, "files"), written(self.branch_files, "branch-files"), written(self.placed, "placed"))
+
     @property
     def chunks(self) -> DataFrame:
         """(chunk, symbol, content), each once."""
@@ -62,3 +67,18 @@ def from_documents(documents: DataFrame) -> Corpus:
     placed = lines.select("blob", "lang", chunk_hash(F.col("lang"), symbol, F.col("content")).alias("chunk"), symbol.alias("symbol"), "content",
                           (F.col("n") + 1).alias("start_line"), (F.col("n") + 1).alias("end_line"))
     return Corpus(files, branches_of(files), placed)
+
+
+def code_of(documents: DataFrame) -> DataFrame:
+    """documents -> files (path, blob, lang, side, doc_id, text) of source code: each line is the comment of a function of its own.
+
+    In Python they are methods of a class of the document, in Go of its type, in C plain functions; other texts stay prose."""
+    files = files_of(documents).where("lang > 0")
+    lines = F.transform(F.split("text", "\n", -1), lambda x: F.regexp_replace(x, r"[\x00-\x1F\x7F\x85\u2028\u2029]", " "))
+    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    python = F.transform(lines, lambda x, i: say("\n    def f", i + 1, "(self):\n        # ", x, "\n        return ", i + 1))
+    c = F.transform(lines, lambda x, i: say("int f", i + 1, "(int x) {\n    // ", x, "\n    return ", i + 1, ";\n}"))
+    go = F.transform(lines, lambda x, i: say("\nfunc (t *Doc", F.col("doc_id"), ") F", i + 1, "() int {\n\t// ", x, "\n\treturn ", i + 1, "\n}"))
+    text = (F.when(F.col("lang") == 7, F.concat(say("class Doc", F.col("doc_id"), ":"), F.array_join(python, ""))).when(F.col("lang") == 1, F.array_join(c, "\n"))
+            .otherwise(F.concat(F.lit("package docs"), F.array_join(go, ""))))
+    return files.select("path", F.sha2(text.cast("binary"), 256).alias("blob"), "lang", "side", "doc_id", text.alias("text"))

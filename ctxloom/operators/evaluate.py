@@ -36,13 +36,19 @@ def ndcg(found: Column, truth: Column, k: int = 10) -> Column:
 
 
 def per_query(found: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
-    """found (qid, item, rank), truth (qid, item) -> the metrics of each query that has a truth."""
-    lists = found.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item"))), lambda s: s["item"]).alias("found"))
-    rows = truth.groupBy("qid").agg(F.collect_set("item").alias("truth")).join(lists, "qid", "left")
-    none = F.array().cast(lists.schema["found"].dataType)
-    f, t = F.coalesce("found", none), F.col("truth")
-    cols = [F.round(recall(f, t, k), 6).alias(f"recall_{k}") for k in ks] + [accuracy(f, t, k).alias(f"acc_{k}") for k in ks]
-    return rows.select("qid", *cols, F.round(reciprocal_rank(f, t), 6).alias("mrr"), F.round(ndcg(f, t), 6).alias("ndcg_10"))
+    """found (qid, item, rank), truth (qid, item) -> the metrics of each query that has a truth.
+
+    Hits are joined and counted, so neither a ranking nor a truth is one list."""
+    truth = truth.select("qid", "item").distinct()
+    size = truth.groupBy("qid").agg(F.count("*").alias("size"))
+    hit = found.select("qid", "item", "rank").join(truth, ["qid", "item"])
+    within = [F.count_distinct(F.when(F.col("rank") <= k, F.col("item"))).alias(f"h_{k}") for k in ks]
+    gain = F.sum(F.when(F.col("rank") <= 10, 1.0 / F.log2(F.col("rank") + 1.0))).alias("gain")
+    rows = size.join(hit.groupBy("qid").agg(*within, F.min("rank").alias("first"), gain), "qid", "left")
+    have = lambda k: F.coalesce(f"h_{k}", F.lit(0))
+    best = F.aggregate(F.sequence(F.lit(1), F.least("size", F.lit(10)).cast("int")), F.lit(0.0), lambda a, i: a + 1.0 / F.log2(i + 1.0))
+    cols = [F.round(have(k) / F.col("size"), 6).alias(f"recall_{k}") for k in ks] + [(have(k) == F.col("size")).cast("double").alias(f"acc_{k}") for k in ks]
+    return rows.select("qid", *cols, F.round(F.coalesce(1.0 / F.col("first"), F.lit(0.0)), 6).alias("mrr"), F.round(F.coalesce("gain", F.lit(0.0)) / best, 6).alias("ndcg_10"))
 
 
 def macro(metrics: DataFrame) -> DataFrame:

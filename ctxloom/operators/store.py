@@ -9,15 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ctxloom.operators.written import written
+
 
 class Incompatible(RuntimeError):
     """Stored vectors or schemas don't fit what is asked for."""
 
 
 def with_ordinals(rows: DataFrame, order: list[str], start: int = 0, name: str = "ord") -> DataFrame:
-    """Numbers rows from start in the given order without bringing them to one task: ranges, then an offset for each."""
+    """Numbers rows from start in the given order without bringing them to one task: ranges, then an offset for each.
+
+    The ranges are written with their numbers, so both reads of them see the same."""
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    local = dealt.withColumn("_m", F.monotonically_increasing_id())
+    local = written(dealt.withColumn("_m", F.monotonically_increasing_id()), "ranges")
     local = local.withColumn("_p", F.shiftright("_m", 33)).withColumn("_i", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = local.groupBy("_p").agg(F.count("*").alias("_n"))
     offset = sizes.select("_p", (F.coalesce(F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + F.lit(start)).alias("_o"))
@@ -26,7 +30,7 @@ def with_ordinals(rows: DataFrame, order: list[str], start: int = 0, name: str =
 
 def with_running(rows: DataFrame, group: str, order: str, value: str, name: str) -> DataFrame:
     """Adds what the rows of a group before a row sum up to, without bringing a group to one task: ranges, then an offset for each."""
-    dealt = rows.repartitionByRange(group, order).withColumn("_p", F.spark_partition_id())
+    dealt = written(rows.repartitionByRange(group, order).withColumn("_p", F.spark_partition_id()), "ranges")
     sums = dealt.groupBy(group, "_p").agg(F.sum(value).alias("_s"))
     past = lambda *by: W.partitionBy(*by).rowsBetween(W.unboundedPreceding, -1)
     offset = sums.select(F.col(group).alias("_g"), F.col("_p").alias("_q"), F.coalesce(F.sum("_s").over(past(group).orderBy("_p")), F.lit(0)).alias("_o"))

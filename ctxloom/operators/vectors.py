@@ -136,11 +136,15 @@ class Index:
     probes: int
 
     @staticmethod
-    def build(vectors: DataFrame, cells: int = 32, sample: int = 20_000, rounds: int = 10, recall: float = 0.95, precision: str = "f32") -> Index:
-        """Centroids and the number of cells to look into come from a bounded sample; every vector is in a cell."""
+    def build(vectors: DataFrame, cells: int | None = None, sample: int = 20_000, rounds: int = 10, recall: float = 0.95, precision: str = "f32") -> Index:
+        """Centroids and the number of cells to look into come from a bounded sample; every vector is in a cell.
+
+        cells: by default about the square root of the number of vectors, at most an eighth of the sample, so that a query's
+        cells and the vectors in them grow alike."""
         n, top = vectors.agg(F.count("*"), F.max("id")).first()
         if not n:
             raise NotReady("no vector to index")
+        cells = cells or max(1, min(round(n**0.5), sample // 8))
         x = np.array([r[0] for r in vectors.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").collect()], dtype=np.float64)  # a bounded sample
         c = x[: min(cells, len(x))].copy()
         for _ in range(rounds):

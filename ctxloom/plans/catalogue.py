@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ctxloom.functions import names, paths, text
 from ctxloom.operators import corpus, curate, evaluate, fusion, lexical, rerank, store, vectors
 from ctxloom.operators.lexical import ranked
+from ctxloom.operators.written import written
 from ctxloom.plans import sql
 from ctxloom.streaming import limiter, requests
 
@@ -70,29 +71,29 @@ def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lexical_lane(spark, sf_dir, c: corpus.Corpus, locs: DataFrame, weight: float = 1.0) -> fusion.Lane:
     q = asked(spark, sf_dir)
-    top = fusion.visible_top(lexical.chunk_scores(c.chunks, q), locs, K)
-    by_doc = fusion.files_by_document(lexical.file_scores(c.placed, q), c.document_paths("main"), K)
+    top = written(fusion.visible_top(lexical.chunk_scores(c.chunks, q), locs, K), "lane")
+    by_doc = written(fusion.files_by_document(lexical.file_scores(c.placed, q), c.document_paths("main"), K), "lane")
     return fusion.Lane(top, [fusion.files_by_first_chunk(top, locs), by_doc], weight)
 
 
 def vector_lane(spark, sf_dir, c: corpus.Corpus, locs: DataFrame, weight: float = 1.0) -> fusion.Lane:
-    top = vectors.nearest_visible(chunk_vectors(spark, sf_dir, c.chunks), query_vectors(spark, sf_dir), locs, K)
+    top = written(vectors.nearest_visible(chunk_vectors(spark, sf_dir, c.chunks), query_vectors(spark, sf_dir), locs, K), "lane")
     return fusion.Lane(top, [fusion.files_by_first_chunk(top, locs)], weight)
 
 
 def ann_lane(spark, sf_dir, c: corpus.Corpus, locs: DataFrame, weight: float = 1.0) -> fusion.Lane:
-    index = vectors.Index.build(chunk_vectors(spark, sf_dir, c.chunks), cells=16)
-    top = vectors.laddered(index, query_vectors(spark, sf_dir), locs, K)
+    index = vectors.Index.build(written(chunk_vectors(spark, sf_dir, c.chunks), "vectors"))
+    top = written(vectors.laddered(index, query_vectors(spark, sf_dir), locs, K), "lane")
     return fusion.Lane(top, [fusion.files_by_first_chunk(top, locs)], weight)
 
 
 def route(spark, sf_dir, *kinds: str):
     """-> corpus, locations on main, fused files, fused chunks."""
-    c = corpus_of(spark, sf_dir)
-    locs = c.locations("main")
+    c = corpus_of(spark, sf_dir).written()
+    locs = written(c.locations("main"), "locations")
     make = {"lexical": lexical_lane, "vector": vector_lane, "ann": ann_lane}
     lanes = [make[k](spark, sf_dir, c, locs, HYBRID if k == "lexical" and len(kinds) > 1 else 1.0) for k in kinds]
-    files = fusion.fused_files(lanes)
+    files = written(fusion.fused_files(lanes), "fused")
     return c, locs, files, fusion.fused_chunks(lanes, files, locs, K)
 
 

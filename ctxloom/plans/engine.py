@@ -74,7 +74,7 @@ class Engine:
         self.store.commit({"vectors": new if have is None else have.unionByName(new)})
         return self.store.table("vectors").count()
 
-    def build_index(self, cells: int = 32) -> None:
+    def build_index(self, cells: int | None = None) -> None:
         v = self.store.table("vectors")
         if v is None:
             raise vectors.NotReady("no vector to index")

@@ -1,16 +1,17 @@
 """Registered queries against their SQL at the smallest scale."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 TABLES = ["documents", "embeddings", "benchmark", "conversations", "events", "labels", "lineitem", "orders", "pages"]
 FAST = ["tokenize_document", "query_terms", "path_rules", "eval_symbols", "embed_text_truncated", "placements", "branch_visibility", "pending_volume", "bm25_chunk_topk", "vector_exact_topk",
-        "hybrid_files", "rerank_fuse", "grep_baseline", "bm25_baseline", "metrics_macro", "interval_enclosing", "dataset_stats", "token_bucket_wait", "request_dispatch", "budget_levels"]
+        "hybrid_files", "rerank_fuse", "grep_baseline", "bm25_baseline", "metrics_macro", "interval_enclosing", "dataset_stats", "token_bucket_wait", "request_dispatch", "budget_levels", "budget_assembly", "symbol_scan", "function_truth", "function_metrics", "budget_curve", "context_merge"]
 
 
 def rows(df):
     df = df[sorted(df.columns)]
-    say = lambda v: "" if v is None or v != v else f"{v:.6f}" if isinstance(v, float) else str(v)
+    say = lambda v: "" if pd.isna(v) else f"{v:.6f}" if isinstance(v, float) else str(v)
     return sorted(tuple(say(v) for v in r) for r in df.itertuples(index=False))
 
 
