@@ -167,6 +167,39 @@ def test_fuzzy_lines_of_ordinary_length_are_found(spark):
     print("fuzzy recall", len(gone & long), len(long), len(gone), len(want))
 
 
+def scattered_edits():
+    """(kind, line): pairs of long lines with a letter changed in one word of five, three or two, a word put in, two words joined, and lines after one pattern."""
+    r = np.random.default_rng(23)
+    word = lambda n: "".join(chr(97 + c) for c in r.integers(0, 26, n))
+    typo = lambda w, i: w[:i] + chr(97 + r.integers(0, 26)) + w[i + 1 :]
+    vocabulary = [word(r.integers(3, 9)) for _ in range(2000)]
+    out = []
+    for kind in ("fifth", "third", "half", "put in", "joined"):
+        for _ in range(40):
+            w = list(r.choice(vocabulary, r.integers(12, 41)))
+            i = int(r.integers(0, len(w) - 1))
+            share = {"fifth": 0.2, "third": 0.35, "half": 0.5}.get(kind)
+            v = [typo(x, r.integers(0, len(x))) if r.random() < share else x for x in w] if share else w[:i] + [word(5)] + w[i:] if kind == "put in" else w[:i] + [w[i] + w[i + 1]] + w[i + 2 :]
+            out += [(kind, " ".join(w)), (kind, " ".join(v))]
+    base = [word(4) for _ in range(40)]
+    for _ in range(60):
+        own = word(14)
+        out += [("pattern", " ".join([*base[:5], own, *base[5:20], word(14), *base[20:]])) for _ in range(2)]
+    return out
+
+
+def test_scattered_edits_and_patterns_are_found(spark):
+    kinds, texts = zip(*scattered_edits())
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, a string")
+    most = F.expr("cast(greatest(length(a), length(b)) div 10 as int)")
+    near = df.join(df.toDF("j", "b"), F.expr("i < j and abs(length(a) - length(b)) * 10 <= greatest(length(a), length(b))")).where(F.levenshtein("a", "b") <= most).select("j").distinct().collect()
+    want = {r["j"] for r in near}
+    gone = {r["doc_id"] for r in lines.dedup_lines(table(spark, [(i, t, "a") for i, t in enumerate(texts)]), numbers=True).collect() if list(r["dropped"])}
+    found = {k: (sum(kinds[j] == k for j in gone & want), sum(kinds[j] == k for j in want)) for k in set(kinds)}
+    print("fuzzy recall by kind of edit", found)
+    assert len(gone & want) >= 0.9 * len(want) and all(x >= 0.75 * n for x, n in found.values()), found
+
+
 def test_registered_lines_that_differ_in_numbers_stay(spark, tmp_path):
     import __spark_entry__ as entry
     import corpus_pipeline
