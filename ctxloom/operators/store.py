@@ -84,12 +84,12 @@ class Snapshots:
             return {"tables": {}, "meta": {}}
         return json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.root}/CURRENT.json").collect()))
 
-    def commit(self, tables: dict[str, DataFrame], meta: dict | None = None) -> None:
-        """All tables are written before the pointer moves; when one fails nothing changes."""
+    def commit(self, tables: dict[str, DataFrame], meta: dict | None = None, append: bool = False) -> None:
+        """All tables are written before the pointer moves; when one fails nothing changes. append: the rows come to those that are there, which stay where they lie."""
         now, version = self._current(), uuid.uuid4().hex
         for name, df in tables.items():
             df.write.parquet(f"{self.root}/{version}/{name}")
-            now["tables"][name] = f"{self.root}/{version}/{name}"
+            now["tables"][name] = [*(self._paths(now["tables"].get(name)) if append else []), f"{self.root}/{version}/{name}"]
         now["meta"] |= meta or {}
         out = self._fs.create(self._path(f"{self.root}/{version}._next"), True)
         out.write(bytearray(json.dumps(now).encode()))
@@ -103,8 +103,12 @@ class Snapshots:
         context.rename(self._path(f"{self.root}/{version}._next"), pointer, options)
 
     def table(self, name: str) -> DataFrame | None:
-        at = self._current()["tables"].get(name)
-        return None if at is None else self.spark.read.parquet(at)
+        at = self._paths(self._current()["tables"].get(name))
+        return self.spark.read.parquet(*at) if at else None
+
+    @staticmethod
+    def _paths(at) -> list[str]:
+        return [at] if isinstance(at, str) else at or []
 
     def meta(self, key: str, default=0):
         """A missing key reads as 0."""

@@ -15,7 +15,8 @@ from ctxloom.operators import corpus, curate, evaluate, lexical, truth
 from ctxloom.operators.lexical import ranked
 from ctxloom.operators.written import written
 from ctxloom.plans import sql
-from ctxloom.plans.catalogue import LEXICAL, asked, corpus_of, query, table
+from ctxloom.plans.catalogue import LEX_ROUTE, LEXICAL, asked, corpus_of, query, route, table
+from ctxloom.streaming import requests
 
 BUDGET, ANSWER = 400, 50
 
@@ -118,6 +119,32 @@ def context_pack(spark, d):
     return curate.assembled(curate.priced(rows), 2000)
 
 
+REPLIES = f"""{LEX_ROUTE},
+told as (select qid, string_agg(concat(side, ':', rank, ':', left(chunk, 12)), ' ' order by side, rank) as t from fc where rank <= 3 group by qid),
+calls as (select concat('{{{{"jsonrpc":"2.0","id":', item_id, ',"result":{{{{"content":[{{{{"type":"text","text":"', coalesce(t, 'KeyError: no answer'), '"}}}}],"isError":', t is null, '}}}}}}}}') as reply from benchmark left join told on qid = item_id),
+turns as (select case when conv_id % 17 = 0 then '{{{{"jsonrpc":"2.0","id":null,"error":{{{{"code":-32700,"message":"parse error"}}}}}}}}'
+  when role = 'user' then concat('{{{{"jsonrpc":"2.0","id":"', conv_id, '-', turn, '","result":{{{{"content":[{{{{"type":"text","text":"ValueError: unknown tool None"}}}}],"isError":true}}}}}}}}')
+  when turn % 2 = 0 then concat('{{{{"jsonrpc":"2.0","id":"', conv_id, '-', turn, '","result":{{{{}}}}}}}}') end as reply from conversations)
+select reply, count(*) as n from (select reply from calls union all select reply from turns where reply is not null) group by reply""".replace("{{", "{").replace("}}", "}")
+
+
+@query("request_replies", REPLIES)
+def request_replies(spark, d):
+    """A call for each benchmark item, answered by the lexical route, among the requests that conversations stand for."""
+    calls = table(spark, d, "benchmark").select(F.to_json(F.struct(F.lit("2.0").alias("jsonrpc"), F.col("item_id").alias("id"), F.lit("tools/call").alias("method"),
+                                                F.struct(F.lit(requests.TOOL).alias("name"), F.struct(F.col("text").alias("query")).alias("arguments")).alias("params"))).alias("value"))
+
+    def answers(queries):
+        best = route(spark, d, "lexical")[3].where("rank <= 3").select(F.col("qid").alias("item"), "side", "rank", "chunk")
+        said = best.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("side", "rank", "chunk"))).alias("c"))  # six at most
+        said = said.select("item", F.array_join(F.transform("c", lambda x: F.concat(x["side"], F.lit(":"), x["rank"], F.lit(":"), F.left(x["chunk"], F.lit(12)))), " ").alias("text"))
+        known = table(spark, d, "benchmark").select(F.col("item_id").alias("item"), F.xxhash64("text").alias("qid")).join(said, "item")
+        return known.groupBy("qid").agg(F.min(F.struct("item", "text")).alias("s")).select("qid", "s.text")
+
+    lines = calls.unionByName(requests.as_requests(table(spark, d, "conversations")))
+    return requests.replies(lines, answers).groupBy("reply").agg(F.count("*").alias("n"))
+
+
 # --- functions --------------------------------------------------------------------------------------
 
 #: Each line of a document as a function: where it stands, what it is called, and how the code reads.

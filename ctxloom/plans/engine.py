@@ -12,6 +12,7 @@ from ctxloom.functions.paths import indexable, is_test, lang_of
 from ctxloom.operators import fusion, lexical, store, vectors
 from ctxloom.operators.corpus import Corpus
 from ctxloom.sources import git
+from ctxloom.streaming import requests, sync
 
 ROUTES = {"lexical": (("lexical", 1.0),), "vector": (("vector", 1.0),), "ann": (("ann", 1.0),), "hybrid": (("lexical", 0.5), ("ann", 1.0))}
 
@@ -60,19 +61,11 @@ class Engine:
     def build_vectors(self) -> int:
         """Embeds the chunks that have no vector; vectors of one fingerprint alone are kept together."""
         self.store.pin({"model": getattr(self.embed, "__name__", "custom"), "max_bytes": self.max_bytes})
-        have, chunks = self.store.table("vectors"), self.corpus("").chunks
-        todo = chunks if have is None else vectors.pending(chunks, have)
+        texts = self.corpus("").chunks.select("chunk", embed_text(F.col("symbol"), F.col("content"), self.max_bytes).alias("text"))
         embed = self.embed
-
-        def run(batches):
-            import pandas as pd
-
-            for pdf in batches:
-                yield pd.DataFrame({"chunk": pdf["chunk"], "v": [embed(t) for t in pdf["t"]]})
-
-        new = todo.select("chunk", embed_text(F.col("symbol"), F.col("content"), self.max_bytes).alias("t")).mapInPandas(run, "chunk string, v array<float>")
-        self.store.commit({"vectors": new if have is None else have.unionByName(new)})
-        return self.store.table("vectors").count()
+        sync.embed_pending(texts, self.store, lambda batch: [embed(t) for t in batch])
+        have = self.store.table("vectors")
+        return 0 if have is None else have.count()
 
     def build_index(self, cells: int | None = None) -> None:
         v = self.store.table("vectors")
@@ -135,3 +128,17 @@ class Engine:
         c = self.corpus(branch)
         row = fusion.results(chunks, files, c.locations(branch), c.chunks).first()
         return row["result"] if row else '{"code":null,"tests":null}'
+
+    def answers(self, branch: str, route: str = "lexical", k: int = 200):
+        """What requests.serve_stream asks: (qid, query) -> (qid, text), all queries of a micro-batch in one search."""
+
+        def told(queries: DataFrame) -> DataFrame:
+            chunks, files = self.search(queries, branch, route, k)
+            c = self.corpus(branch)
+            return fusion.results(chunks, files, c.locations(branch), c.chunks).select("qid", F.col("result").alias("text"))
+
+        return told
+
+    def serve(self, lines: DataFrame, branch: str, target: str, checkpoint: str, route: str = "lexical", k: int = 200) -> None:
+        """Answers a stream of request lines (value) into target."""
+        requests.serve_stream(lines, self.answers(branch, route, k), target, checkpoint)
