@@ -37,8 +37,8 @@ def unit(rows) -> np.ndarray:
     return v / np.where(norm > 0, norm, 1)[:, None]
 
 
-def _scored(keep: int | None, places: int, sides: bool):
-    """A block of vectors and a block of queries -> the `keep` best of each query (and side), with ties, so that ids decide later."""
+def _scored(keep: int | None, places: int, sides: bool, least: float | None = None):
+    """A block of vectors and a block of queries -> the `keep` best of each query (and side), with ties, so that ids decide later, and none under `least`."""
 
     def run(v, q):
         import pandas as pd
@@ -53,6 +53,9 @@ def _scored(keep: int | None, places: int, sides: bool):
                     x, y = np.nonzero(s >= cut[:, None])
                 else:
                     x, y = (i.ravel() for i in np.indices(s.shape))
+                if least is not None:
+                    high = s[x, y] >= least
+                    x, y = x[high], y[high]
                 out["qid"].append(q["qid"].to_numpy()[x])
                 out["id"].append(part["id"].to_numpy()[y])
                 out["score"].append(s[x, y])
@@ -63,25 +66,25 @@ def _scored(keep: int | None, places: int, sides: bool):
     return run
 
 
-def _met(v: DataFrame, q: DataFrame, by: list[str], keep: int | None, places: int) -> DataFrame:
+def _met(v: DataFrame, q: DataFrame, by: list[str], keep: int | None, places: int, least: float | None = None) -> DataFrame:
     v, q = (df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (v, q))  # both may come from one table
     sides = "side" in v.columns
     kind = f"qid {q.schema['qid'].dataType.simpleString()}, id {v.schema['id'].dataType.simpleString()}, score double" + (", side string" if sides else "")
-    run = _scored(keep, places, sides)
+    run = _scored(keep, places, sides, least)
     return v.groupBy(*by).cogroup(q.groupBy(*by)).applyInPandas(lambda a, b: run(a, b), kind)
 
 
-def cosine(vectors: DataFrame, queries: DataFrame, keep: int | None = None, places: int = 6) -> DataFrame:
+def cosine(vectors: DataFrame, queries: DataFrame, keep: int | None = None, places: int = 6, least: float | None = None) -> DataFrame:
     """vectors (id, v, perhaps side), queries (qid, v) -> (qid, id, score, perhaps side).
 
-    Both are dealt in blocks, and a task scores a block of each; keep: the best of each query (and side) in a block alone."""
+    Both are dealt in blocks, and a task scores a block of each; keep: the best of each query (and side) in a block alone; least: no lower scores."""
     blocks, asks = max(1, -(-vectors.count() // BLOCK)), max(1, -(-queries.count() // QUERY_BLOCK))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     sides = ["side"] if "side" in vectors.columns else []
     v = vectors.select("id", "v", *sides, dealt("id", blocks).alias("b"), every(asks).alias("a"))
     q = queries.select("qid", "v", every(blocks).alias("b"), dealt("qid", asks).alias("a"))
-    return _met(v, q, ["b", "a"], keep, places)
+    return _met(v, q, ["b", "a"], keep, places, least)
 
 
 def exact_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:

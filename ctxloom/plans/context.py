@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ctxloom.functions import diffs
 from ctxloom.functions.text import BASELINE_STOPWORDS
-from ctxloom.operators import corpus, curate, evaluate, lexical, truth
+from ctxloom.operators import corpus, curate, evaluate, lexical, playbook, truth
 from ctxloom.operators.lexical import ranked
 from ctxloom.operators.written import written
 from ctxloom.plans import sql
@@ -145,6 +145,48 @@ def request_replies(spark, d):
     return requests.replies(lines, answers).groupBy("reply").agg(F.count("*").alias("n"))
 
 
+# --- playbook and sessions ---------------------------------------------------------------------------
+
+#: The test vectors' cosines stay under 0.61, so the query's threshold is lower than the operator's.
+ALIKE = 0.4
+
+
+@query("playbook_merge", f"""
+with recursive b as (select concat('b', vec_id) as id, concat('bullet ', vec_id) as content, label::bigint as helpful, (vec_id % 3)::bigint as harmful, embedding::double[] as v from embeddings where vec_id % 5 <> 0),
+n as (select sha256(concat('lesson ', vec_id)) as id, label::bigint as helpful, (vec_id % 2)::bigint as harmful, embedding::double[] as v, concat('r', vec_id % 4) as ref from embeddings where vec_id % 5 = 0),
+near as (select id, bullet from (select n.id, b.id as bullet, row_number() over (partition by n.id order by round(list_cosine_similarity(n.v, b.v), 6) desc, b.id) as r from n, b where round(list_cosine_similarity(n.v, b.v), 6) >= {ALIKE}) where r = 1),
+l as (select *, row_number() over (order by id) as k from n anti join near using (id)),
+p as (select y.k, list(x.k order by x.k) as less from l x, l y where x.k < y.k and round(list_cosine_similarity(x.v, y.v), 6) >= {ALIKE} group by y.k),
+f as (select 0::bigint as k, 0::bigint as leader, []::bigint[] as leads union all
+  select f.k + 1, coalesce(list_min(list_intersect(coalesce(less, []), leads)), f.k + 1), case when list_has_any(coalesce(less, []), leads) then leads else list_append(leads, f.k + 1) end
+  from f left join p on p.k = f.k + 1 where f.k < (select count(*) from l)),
+added as (select m.id, sum(l.helpful)::bigint as helpful, sum(l.harmful)::bigint as harmful, string_agg(distinct l.ref, ',' order by l.ref) as refs from f join l using (k) join l m on m.k = f.leader group by m.id),
+more as (select id, sum(helpful)::bigint as h, sum(harmful)::bigint as x, string_agg(distinct ref, ',' order by ref) as r from (
+  select bullet as id, helpful, harmful, ref from near join n using (id) union all select concat('b', vec_id), 1, 0, 'named' from embeddings where vec_id % 5 <> 0 and vec_id % 7 = 0) group by id)
+select id, helpful + coalesce(h, 0) as helpful, harmful + coalesce(x, 0) as harmful, coalesce(r, '') as refs, case when h is null then 'kept' else 'counted' end as change from b left join more using (id)
+union all select id, helpful, harmful, refs, 'appended' from added""")
+def playbook_merge(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v"), F.col("label").cast("long").alias("helpful"))
+    none = F.array().cast("array<string>")
+    say = lambda word: F.concat(F.lit(word), F.col("vec_id").cast("string"))
+    bullets = e.where("vec_id % 5 <> 0").select(say("b").alias("id"), say("bullet ").alias("content"), "helpful", (F.col("vec_id") % 3).alias("harmful"), "v", none.alias("refs"))
+    named = e.where("vec_id % 5 <> 0 and vec_id % 7 = 0").select(say("b").alias("id"), F.lit("").alias("content"), F.lit(1).cast("long").alias("helpful"), F.lit(0).cast("long").alias("harmful"), "v", F.array(F.lit("named")).alias("refs"))
+    fresh = e.where("vec_id % 5 = 0").select(F.lit(None).cast("string").alias("id"), say("lesson ").alias("content"), "helpful", (F.col("vec_id") % 2).alias("harmful"), "v", F.array(F.concat(F.lit("r"), (F.col("vec_id") % 4).cast("string"))).alias("refs"))
+    out = playbook.merged(bullets, named.unionByName(fresh), ALIKE)
+    return out.select("id", "helpful", "harmful", F.array_join("refs", ",").alias("refs"), "change")
+
+
+@query("session_replacement", """
+with h as (select user_id as session, event_id as step, concat(event_type, '-', event_id % 7) as chunk from events),
+l as (select concat(event_type, '-', event_id % 7) as chunk, min(concat('about ', event_type)) as lesson from events where event_id % 7 < 3 group by all)
+select session, step, chunk, case when step = first then 'full' when lesson is null then 'reference' else 'lesson' end as form, case when step > first then lesson end as lesson
+from (select *, min(step) over (partition by session, chunk) as first from h) left join l using (chunk)""")
+def session_replacement(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("step"), F.concat("event_type", F.lit("-"), F.col("event_id") % 7).alias("chunk"), "event_type")
+    lessons = e.where(F.col("step") % 7 < 3).select("chunk", F.concat(F.lit("about "), "event_type").alias("content"))
+    return playbook.shown(e.select("session", "step", "chunk"), lessons)
+
+
 # --- functions --------------------------------------------------------------------------------------
 
 #: Each line of a document as a function: where it stands, what it is called, and how the code reads.
