@@ -461,17 +461,21 @@ pq as (select qid, {", ".join(f"round(len(list_intersect(f[1:{k}], t))::double /
 
 
 def truth_of(spark, d) -> DataFrame:
-    """Documents that hold a query's whole text: they share its words 2 to 6, and only those that do are compared whole."""
+    """Documents that hold a query's whole text: they share its words 2 to 6 (of a short one its second word), and only those that do are compared whole."""
     split = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("q"), split("text").alias("w"))
     f = corpus.files_of(table(spark, d, "documents")).select("path", "text")
-    w = split("text")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 4, F.lit(1))), lambda i: F.concat_ws(" ", F.slice("w", i, F.lit(5))))
-    grams = f.withColumn("w", w).select("path", F.explode(F.array_distinct(grams)).alias("g"))
+    # The generator keeps the words a column: a lambda over an expression would cut the text again for each of them.
+    each = f.select("path", F.inline(F.array(F.struct(split("text").alias("w")))))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.concat_ws(" ", F.slice("w", i, F.lit(5))))
+    grams = each.select("path", F.explode(F.array_distinct(grams)).alias("g"))
+    words = each.select("path", F.explode(F.array_distinct("w")).alias("g"))
     probe = q.where(F.size("w") >= 7).select("qid", "q", F.concat_ws(" ", F.slice("w", 2, 5)).alias("g"))
-    hit = grams.join(probe, "g").select("qid", "q", "path").distinct().join(f, "path").where(F.contains("text", F.col("q"))).select("qid", F.col("path").alias("item"))
-    few = q.where(F.size("w") < 7).select("qid", "q")
-    return hit.unionByName(f.join(F.broadcast(few), F.contains("text", F.col("q"))).select("qid", F.col("path").alias("item"))).distinct()
+    short = q.where(F.size("w").between(3, 6)).select("qid", "q", F.get("w", F.lit(1)).alias("g"))
+    met = grams.join(probe, "g").unionByName(words.join(short, "g")).select("qid", "q", "path").distinct().join(f, "path")
+    hit = met.where(F.contains("text", F.col("q"))).select("qid", F.col("path").alias("item"))
+    one = q.where(F.size("w") < 3).select("qid", "q")  # without a whole word inside there is nothing to join on
+    return hit.unionByName(f.join(one, F.contains("text", F.col("q"))).select("qid", F.col("path").alias("item"))).distinct()
 
 
 def grep_found(spark, d) -> DataFrame:
