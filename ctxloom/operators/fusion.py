@@ -25,8 +25,8 @@ class Lane:
 
 
 def visible_top(scores: DataFrame, locations: DataFrame, k: int) -> DataFrame:
-    """(qid, chunk, score) -> the k best of each query and side that the branch shows, with rank. Filtering comes before ranking."""
-    seen = scores.join(locations.select("chunk", "side").distinct(), "chunk")
+    """(qid, chunk, score, perhaps side) -> the k best of each query and side that the branch shows, with rank. Filtering comes before ranking; scores with a side are filtered."""
+    seen = scores if "side" in scores.columns else scores.join(locations.select("chunk", "side").distinct(), "chunk")
     return ranked(seen, ["qid", "side"], F.desc("score"), F.asc("chunk"), k=k)
 
 
@@ -37,8 +37,8 @@ def files_by_first_chunk(chunks: DataFrame, locations: DataFrame) -> DataFrame:
 
 
 def files_by_document(scores: DataFrame, paths: DataFrame, k: int) -> DataFrame:
-    """(qid, blob, lang, score) -> paths of the k best whole files of each side, flattened in order."""
-    seen = scores.join(paths.select("blob", "lang", "side").distinct(), ["blob", "lang"])
+    """(qid, blob, lang, score, perhaps side) -> paths of the k best whole files of each side, flattened in order."""
+    seen = scores if "side" in scores.columns else scores.join(paths.select("blob", "lang", "side").distinct(), ["blob", "lang"])
     best = ranked(seen, ["qid", "side"], F.desc("score"), "blob", "lang", k=k).withColumnRenamed("rank", "doc_rank")
     flat = best.join(paths, ["blob", "lang", "side"])
     return ranked(flat, ["qid", "side"], "doc_rank", "path").select("qid", "side", "path", "rank")
@@ -62,7 +62,8 @@ def fused_chunks(lanes: list[Lane], files: DataFrame, locations: DataFrame, k: i
         p = lane.chunks.select("qid", "side", "chunk", (F.lit(lane.weight / weights) * rrf(F.col("rank"))).alias("s"), "rank")
         every = p if every is None else every.unionByName(p)
     total = every.groupBy("qid", "side", "chunk").agg(F.sum("s").alias("s"), F.min("rank").alias("best_rank"))
-    place = total.select("qid", "side", "chunk").join(locations.select("chunk", "side", "path").distinct(), ["chunk", "side"])
+    # Few chunks are ranked: their places are looked up before they are made distinct.
+    place = total.select("qid", "side", "chunk").join(locations.select("chunk", "side", "path"), ["chunk", "side"]).distinct()
     place = place.join(files.select("qid", "side", "path", F.col("rank").alias("file_rank")), ["qid", "side", "path"]).groupBy("qid", "side", "chunk").agg(F.min("file_rank").alias("file_rank"))
     out = total.join(place, ["qid", "side", "chunk"], "left")
     out = out.withColumn("score", F.round(F.col("s") + F.coalesce(rrf(F.col("file_rank")), F.lit(0.0)), PLACES))
@@ -71,8 +72,9 @@ def fused_chunks(lanes: list[Lane], files: DataFrame, locations: DataFrame, k: i
 
 def results(chunks: DataFrame, files: DataFrame, locations: DataFrame, symbols: DataFrame) -> DataFrame:
     """The nested answer of each query as JSON: {code: {chunks, files}, tests: ...}."""
-    where = locations.groupBy("chunk", "side").agg(F.array_sort(F.collect_list(F.struct("path", "start_line", "end_line"))).alias("where"))
-    c = chunks.join(where, ["chunk", "side"]).join(symbols.select("chunk", "symbol"), "chunk").groupBy("qid", "side").agg(
+    ranked_ = chunks.select("chunk", "side").distinct()
+    where = locations.join(ranked_, ["chunk", "side"], "left_semi").groupBy("chunk", "side").agg(F.array_sort(F.collect_list(F.struct("path", "start_line", "end_line"))).alias("where"))
+    c = chunks.join(where, ["chunk", "side"]).join(symbols.select("chunk", "symbol").join(ranked_, "chunk", "left_semi"), "chunk").groupBy("qid", "side").agg(
         F.array_sort(F.collect_list(F.struct("rank", "chunk", "score", "symbol", "where"))).alias("chunks"))
     f = files.groupBy("qid", "side").agg(F.array_sort(F.collect_list(F.struct("rank", "path", "score"))).alias("files"))
     both = c.join(f, ["qid", "side"], "full_outer").withColumn("group", F.struct("chunks", "files"))

@@ -1,7 +1,7 @@
 """BM25 over chunks and whole files, for many queries at once.
 
-A word is counted per document before it is taken apart, the query terms are joined before anything is shuffled by
-term, and a document's length is the number of its word positions. Statistics cover the whole corpus, all branches.
+A document is one row with its terms in arrays, written once; scores are added up in blocks of documents and queries (blocks.py), and a
+document's length is the number of its word positions. Statistics cover the whole corpus, all branches.
 """
 
 from __future__ import annotations
@@ -10,9 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ctxloom.functions.text import emitted, query_terms, words
+from ctxloom.functions.text import fold, query_terms, sub_words, words
+from ctxloom.operators import blocks
+from ctxloom.operators.written import written
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: What a chunk's columns weigh.
+CHUNK = {"symbol": 2.0, "content": 1.0}
 
 
 def terms_of(queries: DataFrame) -> DataFrame:
@@ -20,44 +24,49 @@ def terms_of(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode(query_terms(F.col("query"))).alias("term"))
 
 
-def counted(docs: DataFrame, key: list[str], columns: dict[str, float]) -> DataFrame:
-    """(key, word, f, n): each word of a document with its weighted count and its plain one."""
-    every = F.concat(*[_weighed(c, x) for c, x in columns.items()])
-    return docs.select(*key, F.explode(every).alias("w")).select(*key, "w.word", "w.f").groupBy(*key, "word").agg(F.sum("f").alias("f"), F.count("*").alias("n"))
+def read(docs: DataFrame, key: list[str], columns: dict[str, float]) -> DataFrame:
+    """docs (key, text columns), a row for each document -> (key, d, t_ and a column's name): the length in word positions, and of each column all terms, a word's own ones once."""
+    # Most words have no sub-words, so texts are folded as a whole. The generator keeps the words a column: what reads them would cut the text again.
+    each = docs.select(*key, F.inline(F.array(F.struct(*[x for c in columns for x in (words(fold(F.col(c))).alias(f"w_{c}"), sub_words(F.col(c)).alias(f"s_{c}"))]))))
+    return each.select(*key, sum(F.size(f"w_{c}") for c in columns).cast("long").alias("d"), *[F.concat(f"w_{c}", f"s_{c}").alias(f"t_{c}") for c in columns])
 
 
-def _weighed(column: str, weight: float) -> Column:
-    return F.transform(words(F.col(column)), lambda w: F.struct(w.alias("word"), F.lit(weight).alias("f")))
+def frequencies(seen: DataFrame, columns: dict[str, float], asked: DataFrame) -> DataFrame:
+    """(term, n): in how many documents of read() the asked terms are. They are joined before anything is shuffled."""
+    terms = F.array_distinct(F.concat(*[F.col(f"t_{c}") for c in columns]))
+    probe = asked.select("term").distinct()  # Spark broadcasts it where its size allows
+    return seen.select(F.explode(terms).alias("term")).join(probe, "term").groupBy("term").agg(F.count("*").alias("n"))
 
 
-def bm25(docs: DataFrame, key: list[str], columns: dict[str, float], queries: DataFrame, several: bool = False) -> DataFrame:
-    """docs (key, text columns), queries (qid, query) -> (qid, key, score), rounded to 6 places.
+def idf(docs: Column, n: Column) -> Column:
+    return F.greatest(F.log((docs - n + 0.5) / (n + 0.5)), F.lit(LEAST_IDF))
 
-    several: a document may lie over several rows, whose words are added up."""
-    asked = terms_of(queries)
-    seen = counted(docs, key, columns)
-    length = seen.groupBy(*key).agg(F.sum("n").alias("d"))
-    # Documents without a word still count for the mean.
-    ids = docs.select(*key).distinct() if several else docs.select(*key)
-    total = ids.agg(F.count("*").alias("docs")).crossJoin(length.agg(F.sum("d").alias("words")))  # one row
-    probe = asked.select("term").distinct()  # Spark broadcasts it where its size allows
-    hits = seen.select(*key, "f", F.explode(F.array_distinct(emitted(F.col("word")))).alias("term")).join(probe, "term")
-    hits = hits.groupBy("term", *key).agg(F.sum("f").alias("f"))
-    df = hits.groupBy("term").agg(F.count("*").alias("n"))
-    idf = df.crossJoin(F.broadcast(total)).select("term", F.greatest(F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(LEAST_IDF)).alias("idf"), (F.col("words") / F.col("docs")).alias("mean"))
-    part = hits.join(idf, "term").join(length, key)
-    part = part.withColumn("s", F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("d") / F.col("mean"))))
-    return part.join(asked, "term").groupBy("qid", *key).agg(F.round(F.sum("s"), 6).alias("score"))
 
+def bm25(docs: DataFrame, key: list[str], columns: dict[str, float], queries: DataFrame, several: bool = False, keep: int | None = None, sides: DataFrame | None = None) -> DataFrame:
+    """docs (key, text columns), queries (qid, query) -> (qid, key, score), rounded to 6 places.
 
-def chunk_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    several: a document may lie over several rows, whose words are added up. keep: no more than can be among the `keep` best of a query.
+    sides (key, side): only documents that are on a side are scored, with side, and `keep` holds for each; statistics cover all documents."""
+    asked = terms_of(queries)
+    if several:
+        docs = docs.groupBy(*key).agg(*[F.array_join(F.collect_list(c), "\n").alias(c) for c in columns])
+    seen = written(read(docs, key, columns), "terms")
+    count, total = seen.agg(F.count("*"), F.coalesce(F.sum("d"), F.lit(0))).first()
+    n = frequencies(seen, columns, asked)
+    known = asked.join(n.select("term", idf(F.lit(float(count)), F.col("n")).alias("idf")), "term").withColumn("mean", F.lit(total / max(count, 1)))
+    known = written(known, "asked")
+    shown = seen if sides is None else seen.join(sides.select(*key, "side").distinct(), key)
+    return blocks.scored(shown, known, key, total, count, {f"t_{c}": w for c, w in columns.items()}, K1, B, keep)
+
+
+def chunk_scores(chunks: DataFrame, queries: DataFrame, keep: int | None = None, sides: DataFrame | None = None) -> DataFrame:
     """(chunk, symbol, content) -> (qid, chunk, score); a hit in the symbol weighs twice."""
-    return bm25(chunks, ["chunk"], {"symbol": 2.0, "content": 1.0}, queries)
+    return bm25(chunks, ["chunk"], CHUNK, queries, keep=keep, sides=sides)
 
 
-def file_scores(placed: DataFrame, queries: DataFrame) -> DataFrame:
+def file_scores(placed: DataFrame, queries: DataFrame, keep: int | None = None, sides: DataFrame | None = None) -> DataFrame:
     """Whole files: the words of all their chunks, a chunk that is placed twice counted twice."""
-    return bm25(placed.select("blob", "lang", "content"), ["blob", "lang"], {"content": 1.0}, queries, several=True)
+    return bm25(placed.select("blob", "lang", "content"), ["blob", "lang"], {"content": 1.0}, queries, several=True, keep=keep, sides=sides)
 
 
 def ranked(scores: DataFrame, by: list[str], *order: Column, k: int | None = None) -> DataFrame:

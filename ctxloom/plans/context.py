@@ -61,11 +61,11 @@ def budget_assembly(spark, d):
 def answer_items(spark, d):
     """What a query's answer would show: its best whole files and its best chunks in turn, with their first places on any branch."""
     c, q = corpus_of(spark, d).written(), asked(spark, d)
-    whole = ranked(lexical.file_scores(c.placed, q), ["qid"], F.desc("score"), "blob", "lang", k=ANSWER)
+    whole = ranked(lexical.file_scores(c.placed, q, ANSWER), ["qid"], F.desc("score"), "blob", "lang", k=ANSWER)
     paths = c.files.groupBy("blob", "lang").agg(F.min(F.struct("path", "text")).alias("f"))
     whole = whole.join(paths, ["blob", "lang"]).select("qid", F.concat("blob", F.lit(":"), "lang").alias("item"), (F.col("rank") * 2 - 1).alias("rank"), F.col("f.path").alias("path"),
                                                        F.lit(1).alias("start"), F.size(F.split("f.text", "\n", -1)).alias("stop"), F.col("f.text").alias("content"))
-    best = ranked(lexical.chunk_scores(c.chunks, q), ["qid"], F.desc("score"), "chunk", k=ANSWER)
+    best = ranked(lexical.chunk_scores(c.chunks, q, ANSWER), ["qid"], F.desc("score"), "chunk", k=ANSWER)
     places = c.placed.join(c.files.select("blob", "lang", "path"), ["blob", "lang"])
     places = places.join(best.select("chunk").distinct(), "chunk").groupBy("chunk").agg(F.min(F.struct("path", "start_line", "end_line", "content")).alias("p"))
     best = best.join(places, "chunk").select("qid", F.col("chunk").alias("item"), (F.col("rank") * 2).alias("rank"), F.col("p.path").alias("path"),

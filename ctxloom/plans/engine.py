@@ -81,8 +81,8 @@ class Engine:
         lanes = []
         for kind, weight in ROUTES[route]:
             if kind == "lexical":
-                top = fusion.visible_top(lexical.chunk_scores(every.chunks, queries), locs, k)
-                by_doc = fusion.files_by_document(lexical.file_scores(every.placed, queries), c.document_paths(branch), k)
+                top = fusion.visible_top(lexical.chunk_scores(every.chunks, queries, k, locs), locs, k)
+                by_doc = fusion.files_by_document(lexical.file_scores(every.placed, queries, k, c.document_paths(branch)), c.document_paths(branch), k)
                 lanes.append(fusion.Lane(top, [fusion.files_by_first_chunk(top, locs), by_doc], weight))
                 continue
             v = self.store.table("vectors")

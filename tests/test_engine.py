@@ -6,6 +6,7 @@ import subprocess
 import pytest
 from pyspark.sql import functions as F
 
+from ctxloom.functions import text
 from ctxloom.operators import curate, evaluate, fusion, lexical, rerank, store, vectors
 from ctxloom.plans.engine import Engine
 from ctxloom.sources import git
@@ -129,6 +130,22 @@ def test_bm25_without_terms(spark):
     assert [r["chunk"] for r in lexical.chunk_scores(chunks, ask(spark, "beta")).collect()] == ["a"]
 
 
+def test_bm25_keeps_the_best_of_each_side(spark):
+    texts = ["beta gammaRay x", "beta beta", "ray gamma_ray", "b2B beta", "nothing here", "RAY ray BetaRay", ""]
+    chunks = spark.createDataFrame([(f"c{i}", "", t) for i, t in enumerate(texts * 3)], "chunk string, symbol string, content string").withColumn("chunk", F.concat("chunk", F.lit("_")))
+    sides = chunks.select("chunk", F.explode(F.when(F.col("chunk") < "c3", F.array(F.lit("code"), F.lit("tests"))).otherwise(F.array(F.lit("code")))).alias("side"))
+    q = spark.createDataFrame([(1, "beta gamma"), (2, "ray"), (3, "absent")], "qid long, query string")
+    every = lexical.chunk_scores(chunks, q)
+    want = lexical.ranked(every.join(sides, "chunk"), ["qid", "side"], F.desc("score"), "chunk", k=2).select("qid", "side", "chunk", "score", "rank")
+    got = lexical.chunk_scores(chunks, q, 2, sides)
+    assert got.count() < every.join(sides, "chunk").count()  # what can't be among the best leaves no block
+    assert sorted(lexical.ranked(got, ["qid", "side"], F.desc("score"), "chunk", k=2).select("qid", "side", "chunk", "score", "rank").collect()) == sorted(want.collect())
+    bag = spark.createDataFrame([(t,) for t in [*texts, "getHTTPCode_x fooBar_ _ab é_Ba ABCd x_y_zz " + "aB" * 40]], "t string")
+    own = F.flatten(F.transform(text.words(F.col("t")), lambda w: F.array_distinct(text.emitted(w))))
+    both = bag.select(F.array_sort(own), F.array_sort(F.concat(text.words(text.fold(F.col("t"))), text.sub_words(F.col("t"))))).collect()
+    assert all(a == b for a, b in both)
+
+
 def test_metrics(spark):
     kind = "qid long, item string, rank int"
     got = spark.createDataFrame([(1, "x", 1), (1, "a", 2), (2, "y", 1)], kind)
