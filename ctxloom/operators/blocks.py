@@ -98,10 +98,10 @@ def candidates(docs: DataFrame, asked: DataFrame, key: list[str], words: int, co
     return a.cogroup(b).applyInArrow(run, kind).where("n > 0").groupBy("qid").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
 
 
-def scored(docs: DataFrame, asked: DataFrame, key: list[str], words: int, count: int, weights: dict[str, float], k1: float, b: float, keep: int | None = None) -> DataFrame:
+def scored(docs: DataFrame, asked: DataFrame, key: list[str], words: int, count: int, weights: dict[str, float], k1: float, b: float, keep: int | None = None, unit: float = 1.0) -> DataFrame:
     """docs (key, d, the arrays of words that `weights` names, perhaps side), asked (qid, term, idf, mean) -> (qid, key, perhaps side, score), rounded to 6 places.
 
-    Without `keep`, every pair that shares a term; with it only those that can be among the `keep` best of a query (and side)."""
+    unit: what 1 is in idf; with whole numbers of a fine unit, and k1 of 0, sums are exact. Without `keep`, every pair that shares a term; with it only those that can be among the `keep` best of a query (and side)."""
     key = [*key, *(["side"] if "side" in docs.columns else [])]
     kind = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for df, cs in ((asked, ["qid"]), (docs, key)) for c in cs) + ", score double"
 
@@ -118,7 +118,7 @@ def scored(docs: DataFrame, asked: DataFrame, key: list[str], words: int, count:
                 rows = np.flatnonzero(sides == side)
                 part = every[rows]
                 # What rounds to the same score is a tie, and ids decide between ties later.
-                cut = np.partition(part, len(rows) - keep, axis=0)[len(rows) - keep] - 1e-6 if keep is not None and len(rows) > keep else np.zeros(part.shape[1])
+                cut = np.partition(part, len(rows) - keep, axis=0)[len(rows) - keep] - 1e-6 * unit if keep is not None and len(rows) > keep else np.zeros(part.shape[1])
                 i, j = np.nonzero((part > 0) & (part >= cut))
                 found.append((rows[i], j))
             x, y = (np.concatenate([f[n] for f in found]) for n in (0, 1))
@@ -126,4 +126,4 @@ def scored(docs: DataFrame, asked: DataFrame, key: list[str], words: int, count:
         return pa.table([qids.take(pa.array(y)), *[v.column(c).take(pa.array(x)) for c in key], pa.array(s)], names=["qid", *key, "score"])
 
     a, b_ = dealt(docs, asked.select("qid", "term", "idf", "mean"), [c for c in key if c != "side"], words, count)
-    return a.cogroup(b_).applyInArrow(run, kind).withColumn("score", F.round("score", 6))
+    return a.cogroup(b_).applyInArrow(run, kind).withColumn("score", F.round(F.col("score") / unit, 6))

@@ -1,14 +1,17 @@
-"""Retrieval metrics, two baselines that share no code with the engine, and the rules of the query set."""
+"""Retrieval metrics, two baselines that share no words, statistics or weights with the engine (only the sums over blocks), and the rules of the query set."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ctxloom.functions.text import baseline_terms, grep_terms
+from ctxloom.functions.text import baseline_terms, fold, grep_terms
+from ctxloom.operators import blocks
 from ctxloom.operators.lexical import ranked
+from ctxloom.operators.written import written
 
 K1, B = 0.9, 0.4
+IDENTIFIER = "[A-Za-z_][A-Za-z0-9_]*"
 
 
 def recall(found: Column, truth: Column, k: int) -> Column:
@@ -67,32 +70,40 @@ def _idf(docs: Column, df: Column) -> Column:
     return F.log(1 + (docs - df + 0.5) / (df + 0.5))
 
 
-def grep_baseline(files: DataFrame, queries: DataFrame, most: int = 20) -> DataFrame:
-    """(path, text) -> (qid, path, score): the sum of idf over the query's 20 rarest identifiers that a file has."""
+def _read(files: DataFrame, every) -> DataFrame:
+    """(path, text) -> (path, d, t): the identifiers of a path, each in small letters for BM25; a path may lie over several rows."""
+    files = files.groupBy("path").agg(F.array_join(F.collect_list("text"), "\n").alias("text"))
+    words = files.select("path", F.inline(F.array(F.struct(every(F.col("text")).alias("t")))))
+    return written(words.select("path", F.size("t").cast("long").alias("d"), "t"), "identifiers")
+
+
+def _frequencies(seen: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, df): in how many paths the asked terms are."""
+    hit = seen.select(F.explode(F.array_distinct("t")).alias("term")).join(terms.select("term").distinct(), "term")
+    return hit.groupBy("term").agg(F.count("*").alias("df"))
+
+
+def grep_baseline(files: DataFrame, queries: DataFrame, most: int = 20, keep: int | None = None) -> DataFrame:
+    """(path, text) -> (qid, path, score): the sum of idf over the query's 20 rarest identifiers that a file has. keep: no more than can be among the `keep` best of a query.
+
+    An idf has 9 places, so its sums are whole numbers of billionths: exact, whatever the order."""
     terms = queries.select("qid", F.explode(grep_terms(F.col("query"))).alias("term"))
-    words = files.select("path", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)))).alias("term"))
-    hit = words.join(terms.select("term").distinct(), "term")
-    df = hit.groupBy("term").agg(F.count("*").alias("df"))
-    total = F.broadcast(files.agg(F.count("*").alias("docs")))
-    known = terms.join(df, "term").crossJoin(total).withColumn("idf", F.round(_idf(F.col("docs"), F.col("df")), 9))
+    seen = _read(files, lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit(IDENTIFIER), F.lit(0))))
+    count, words = seen.agg(F.count("*"), F.coalesce(F.sum("d"), F.lit(0))).first()
+    known = terms.join(_frequencies(seen, terms), "term").withColumn("idf", F.round(_idf(F.lit(files.count()), F.col("df")), 9))
     top = ranked(known, ["qid"], F.desc("idf"), "term", k=most)
-    return hit.join(top.select("qid", "term", "idf"), "term").groupBy("qid", "path").agg(F.round(F.sum("idf"), 6).alias("score"))
+    top = written(top.select("qid", "term", F.round(F.col("idf") * 1e9).alias("idf"), F.lit(1.0).alias("mean")), "asked")
+    return blocks.scored(seen, top, ["path"], words, count, {"t": 1.0}, 0.0, 0.0, keep, unit=1e9)
 
 
-def bm25_baseline(files: DataFrame, queries: DataFrame) -> DataFrame:
-    """(path, text) -> (qid, path, score): whole identifiers, k1 0.9, b 0.4; the mean length is that of candidate files, df that of all."""
+def bm25_baseline(files: DataFrame, queries: DataFrame, keep: int | None = None) -> DataFrame:
+    """(path, text) -> (qid, path, score): whole identifiers, k1 0.9, b 0.4; the mean length is that of candidate files, df that of all. keep: no more than can be among the `keep` best of a query."""
     terms = queries.select("qid", F.explode(F.array_distinct(baseline_terms(F.col("query")))).alias("term"))
-    words = files.select("path", F.explode(F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)), lambda w: F.lower(w))).alias("term"))
-    tf = words.groupBy("path", "term").agg(F.count("*").alias("tf"))
-    dl = tf.groupBy("path").agg(F.sum("tf").alias("dl"))
-    hit = tf.join(terms.select("term").distinct(), "term")
-    df = hit.groupBy("term").agg(F.count("*").alias("df"))
-    total = F.broadcast(files.agg(F.count("*").alias("docs")))
-    rows = hit.join(terms, "term").join(df, "term").join(dl, "path").crossJoin(total)
-    mean = rows.select("qid", "path", "dl").distinct().groupBy("qid").agg(F.avg("dl").alias("mean"))
-    rows = rows.join(mean, "qid")
-    s = _idf(F.col("docs"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
-    return rows.groupBy("qid", "path").agg(F.round(F.sum(s), 6).alias("score"))
+    seen = _read(files, lambda t: F.regexp_extract_all(fold(t), F.lit(IDENTIFIER), F.lit(0)))
+    count, words = seen.agg(F.count("*"), F.coalesce(F.sum("d"), F.lit(0))).first()
+    mean = blocks.candidates(seen, terms, ["path"], words, count, {"t": 1.0}).select("qid", (F.col("d") / F.col("n")).alias("mean"))
+    known = terms.join(_frequencies(seen, terms), "term").join(mean, "qid").select("qid", "term", _idf(F.lit(files.count()), F.col("df")).alias("idf"), "mean")
+    return blocks.scored(seen, written(known, "asked"), ["path"], words, count, {"t": 1.0}, K1, B, keep)
 
 
 def innermost(points: DataFrame, spans: DataFrame, width: int = 64) -> DataFrame:

@@ -50,12 +50,16 @@ def bm25(docs: DataFrame, key: list[str], columns: dict[str, float], queries: Da
     asked = terms_of(queries)
     if several:
         docs = docs.groupBy(*key).agg(*[F.array_join(F.collect_list(c), "\n").alias(c) for c in columns])
-    seen = written(read(docs, key, columns), "terms")
+    own = key
+    if sides is not None:
+        # Documents lie by key here, so the sides come to them, not they to the sides.
+        docs, own = docs.join(sides.select(*key, "side").groupBy(*key).agg(F.collect_set("side").alias("sides")), key, "left"), [*key, "sides"]
+    seen = written(read(docs, own, columns), "terms")
     count, total = seen.agg(F.count("*"), F.coalesce(F.sum("d"), F.lit(0))).first()
     n = frequencies(seen, columns, asked)
     known = asked.join(n.select("term", idf(F.lit(float(count)), F.col("n")).alias("idf")), "term").withColumn("mean", F.lit(total / max(count, 1)))
     known = written(known, "asked")
-    shown = seen if sides is None else seen.join(sides.select(*key, "side").distinct(), key)
+    shown = seen if sides is None else seen.withColumn("side", F.explode("sides")).drop("sides")
     return blocks.scored(shown, known, key, total, count, {f"t_{c}": w for c, w in columns.items()}, K1, B, keep)
 
 

@@ -1,13 +1,15 @@
 """The engine end to end on a small repository, and what serving, streaming and storage promise."""
 
 import json
+import math
 import subprocess
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from ctxloom.functions import text
-from ctxloom.operators import curate, evaluate, fusion, lexical, rerank, store, vectors
+from ctxloom.operators import blocks, curate, evaluate, fusion, lexical, rerank, store, vectors
 from ctxloom.plans.engine import Engine
 from ctxloom.sources import git
 from ctxloom.streaming import limiter, requests, sync
@@ -146,6 +148,28 @@ def test_bm25_keeps_the_best_of_each_side(spark):
     assert all(a == b for a, b in both)
 
 
+def test_baselines_in_blocks(spark, monkeypatch):
+    """Sums of idf are exact, and blocks of any size give the same scores, also where a path lies over several rows."""
+    files = spark.createDataFrame([(f"p{i:02d}", " ".join(f"w{j}xx" for j in range(1, 40) if i % j == 0)) for i in range(60)] + [("p07", "extraWord extraWord w1xx"), ("p99", "")], "path string, text string")
+    q = spark.createDataFrame([(k, " ".join(f"w{j}xx" for j in range(k, 40, 2)) + " extraWord") for k in (1, 2, 3)], "qid long, query string")
+    grep, bm25 = (sorted(map(tuple, f(files, q).collect())) for f in (evaluate.grep_baseline, evaluate.bm25_baseline))
+    n, has = 62, {}
+    for r in files.collect():
+        for w in set(r["text"].split()):
+            has.setdefault(w, set()).add(r["path"])
+    idf = {w: Decimal(f"{math.log(1 + (n - len(ps) + 0.5) / (len(ps) + 0.5)):.9f}") for w, ps in has.items()}
+    want = []
+    for k, query in ((r["qid"], r["query"]) for r in q.collect()):
+        top = sorted((w for w in query.split() if w in idf), key=lambda w: (-idf[w], w))[:20]
+        for path in {p for w in top for p in has[w]}:
+            want.append((k, path, float(sum(idf[w] for w in top if path in has[w]).quantize(Decimal("1e-6"), ROUND_HALF_UP))))
+    assert grep == sorted(want)
+    for name, value in (("DOCS", 7), ("WORDS", 50), ("QUERIES", 1), ("AT_ONCE", 5)):
+        monkeypatch.setattr(blocks, name, value)
+    assert sorted(map(tuple, evaluate.grep_baseline(files, q).collect())) == grep
+    assert sorted(map(tuple, evaluate.bm25_baseline(files, q).collect())) == bm25
+
+
 def test_metrics(spark):
     kind = "qid long, item string, rank int"
     got = spark.createDataFrame([(1, "x", 1), (1, "a", 2), (2, "y", 1)], kind)
