@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ctxloom.operators.lexical import ranked
 
-LADDER = (1000, 4000, 16000)
 BLOCK, QUERY_BLOCK = 8192, 2048
+#: Scores that a task holds at once.
+AT_ONCE = 2_000_000
 
 
 class NotReady(RuntimeError):
@@ -47,20 +48,25 @@ def _scored(keep: int | None, places: int, sides: bool, least: float | None = No
         out = {"qid": [q["qid"].to_numpy()[:0]], "id": [v["id"].to_numpy()[:0]], "score": [np.zeros(0)]} | ({"side": [np.zeros(0, dtype=object)]} if sides else {})
         if len(v) and len(q):
             for side, part in v.groupby("side") if sides else [(None, v)]:
-                s = np.round(unit(q["v"]) @ unit(part["v"]).T, places)
-                if keep is not None and s.shape[1] > keep:
-                    cut = np.partition(s, s.shape[1] - keep, axis=1)[:, s.shape[1] - keep]
-                    x, y = np.nonzero(s >= cut[:, None])
-                else:
-                    x, y = (i.ravel() for i in np.indices(s.shape))
-                if least is not None:
-                    high = s[x, y] >= least
-                    x, y = x[high], y[high]
-                out["qid"].append(q["qid"].to_numpy()[x])
-                out["id"].append(part["id"].to_numpy()[y])
-                out["score"].append(s[x, y])
-                if sides:
-                    out["side"].append(np.full(len(x), side, dtype=object))
+                vectors = unit(part["v"]).T
+                # A few queries at a time, however many meet this block.
+                step = max(1, AT_ONCE // vectors.shape[1])
+                for first in range(0, len(q), step):
+                    some = q.iloc[first : first + step]
+                    s = np.round(unit(some["v"]) @ vectors, places)
+                    if keep is not None and s.shape[1] > keep:
+                        cut = np.partition(s, s.shape[1] - keep, axis=1)[:, s.shape[1] - keep]
+                        x, y = np.nonzero(s >= cut[:, None])
+                    else:
+                        x, y = (i.ravel() for i in np.indices(s.shape))
+                    if least is not None:
+                        high = s[x, y] >= least
+                        x, y = x[high], y[high]
+                    out["qid"].append(some["qid"].to_numpy()[x])
+                    out["id"].append(part["id"].to_numpy()[y])
+                    out["score"].append(s[x, y])
+                    if sides:
+                        out["side"].append(np.full(len(x), side, dtype=object))
         return pd.DataFrame({c: np.concatenate(a) for c, a in out.items()})
 
     return run
@@ -105,7 +111,11 @@ def nearest_visible(vectors: DataFrame, queries: DataFrame, locations: DataFrame
 
 def _near(centroids: np.ndarray, x: np.ndarray, probes: int) -> np.ndarray:
     """The `probes` nearest cells of each row."""
-    return np.argsort(-(x @ centroids.T - (centroids * centroids).sum(axis=1) / 2), axis=1, kind="stable")[:, :probes]
+    half = (centroids * centroids).sum(axis=1) / 2
+    if probes == 1:  # the first of the nearest, as the stable order gives it
+        step = max(1, AT_ONCE // len(centroids))
+        return np.concatenate([np.zeros((0, 1), dtype=np.int64), *[(x[i : i + step] @ centroids.T - half).argmax(axis=1)[:, None] for i in range(0, len(x), step)]])
+    return np.argsort(-(x @ centroids.T - half), axis=1, kind="stable")[:, :probes]
 
 
 def reach(x: np.ndarray, centroids: np.ndarray, k: int = 10, target: float = 0.95, asked: int = 256) -> int:
@@ -160,7 +170,7 @@ class Index:
             import pyarrow as pa
 
             for batch in batches:
-                v = np.array(batch.column("v").to_pylist(), dtype=np.float64).reshape(-1, c.shape[1])
+                v = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, c.shape[1])
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(_near(c, v, 1)[:, 0], pa.int32())], names=["id", "v", "cell"])
 
         kind = f"id {vectors.schema['id'].dataType.simpleString()}, v {vectors.schema['v'].dataType.simpleString()}, cell int"
@@ -185,10 +195,10 @@ class Index:
             raise NotReady("the index is stale: it covers other vectors")
         return Index(np.array(told["centroids"]), spark.read.parquet(f"{path}/cells"), now, told["probes"])
 
-    def search(self, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
+    def search(self, queries: DataFrame, k: int, probes: int | None = None, sides: DataFrame | None = None) -> DataFrame:
         """The k best by exact scores over the `probes` nearest cells of each query; by default as many as reach the recall the index was built for.
 
-        A cell is dealt in parts of about BLOCK vectors, and a query goes to the parts of its cells alone."""
+        sides (id, side): only vectors on a side, and the k best of each. A cell is dealt in parts of about BLOCK vectors, and a query goes to the parts of its cells alone."""
         c, probes = self.centroids, min(probes or self.probes, len(self.centroids))
         parts = max(1, -(-self.coverage[0] // (BLOCK * len(c))))
 
@@ -203,23 +213,15 @@ class Index:
         kind = f"qid {queries.schema['qid'].dataType.simpleString()}, v {queries.schema['v'].dataType.simpleString()}, cell int"
         asked = queries.select("qid", "v").mapInArrow(choose, kind)
         asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        cells = self.cells.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
-        return ranked(_met(cells, asked, ["cell", "part"], k, 6), ["qid"], F.desc("score"), "id", k=k)
+        cells = self.cells if sides is None else self.cells.join(sides, "id")
+        cells = cells.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+        return ranked(_met(cells, asked, ["cell", "part"], k, 6), ["qid", *([] if sides is None else ["side"])], F.desc("score"), "id", k=k)
 
 
 def laddered(index: Index, queries: DataFrame, locations: DataFrame, k: int, probes: int | None = None) -> DataFrame:
-    """The k best visible of each side among 1000, then 4000, then 16000 neighbours. Only queries with a side unfilled climb, and none beyond the vectors there are."""
+    """The k best visible of each side in the cells that a query looks into.
+
+    A ladder of 1000, 4000 and 16000 neighbours would hand on all of them to fill both sides; here the cells know the sides, so a block
+    hands on k of each, and no side stays unfilled while the cells hold more for it."""
     sides = locations.select(F.col("chunk").alias("id"), "side").distinct()
-    left, taken = queries, None
-    for rung in LADDER:
-        last = rung == LADDER[-1] or rung >= index.coverage[0]
-        seen = index.search(left, rung, probes).drop("rank").join(sides, "id")
-        top = ranked(seen, ["qid", "side"], F.desc("score"), "id", k=k)
-        if not last:
-            top = top.persist()
-            full = top.where(F.col("rank") == k).groupBy("qid").count().where("count = 2").select("qid")
-            left, top = left.join(full, "qid", "left_anti"), top.join(full, "qid", "left_semi")
-        taken = top if taken is None else taken.unionByName(top)
-        if last or left.isEmpty():
-            break
-    return taken.select("qid", "side", F.col("id").alias("chunk"), "score", "rank")
+    return index.search(queries, k, probes, sides).select("qid", "side", F.col("id").alias("chunk"), "score", "rank")

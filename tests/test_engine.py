@@ -5,6 +5,7 @@ import math
 import subprocess
 from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,6 +171,23 @@ def test_baselines_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, evaluate.bm25_baseline(files, q).collect())) == bm25
 
 
+def test_a_few_queries_at_a_time(spark, monkeypatch):
+    """A block's scores are held for a few queries at once, however many meet it, and the result is the same."""
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    v = pd.DataFrame({"id": range(50), "v": list(rng.normal(size=(50, 8)))})
+    q = pd.DataFrame({"qid": range(40), "v": list(rng.normal(size=(40, 8)))})
+    run = vectors._scored(5, 6, False)
+    whole, most, plain = run(v, q), [], vectors.unit
+    monkeypatch.setattr(vectors, "AT_ONCE", 150)
+    monkeypatch.setattr(vectors, "unit", lambda rows: (most.append(len(rows)), plain(rows))[1])
+    assert run(v, q).equals(whole) and len(whole) >= 200
+    assert most[0] == 50 and max(most[1:]) == 3
+    x, c = rng.integers(0, 3, (30, 2)).astype(float), rng.integers(0, 3, (9, 2)).astype(float)
+    assert (vectors._near(c, x, 1)[:, 0] == vectors._near(c, x, 2)[:, 0]).all()
+
+
 def test_metrics(spark):
     kind = "qid long, item string, rank int"
     got = spark.createDataFrame([(1, "x", 1), (1, "a", 2), (2, "y", 1)], kind)
