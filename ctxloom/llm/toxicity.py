@@ -5,8 +5,8 @@ most of it. Filters of widths 1, 2 and 3 run over whole texts; each filter's max
 dimension of the embeddings starts as the bucket's log odds in the training sample. Training moves the
 filters, and of the embeddings what the maxima touch.
 
-The sample is bounded: `per_class` documents of each label, by hash order, none held out. Thresholds are
-calibrated by language on the same rows; lang picks the threshold and is no input of the score.
+Filters learn from a bounded sample: `per_class` documents of each label, by hash order, none held out. Thresholds are
+calibrated by language on all labelled rows that aren't held out; lang picks the threshold and is no input of the score.
 
 Defined cases: null and empty texts get the score of a text of padding. Ids without a label are scored like others.
 Rows with a null doc_id are scored, not held out. Repeated rows give repeated rows. Without labels of both
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ctxloom.llm.common import FOLD, MARKS, Words, held_out, plain, texts_in_chunks
-from ctxloom.llm.learning import Adagrad, best_threshold, collected, sample_ids, sigmoid
+from ctxloom.llm.learning import Adagrad, best_thresholds, collected, labelled, sample_ids, sigmoid
 
 BUCKETS, DIM, FILTERS, WIDTHS, PREFIXES = 1 << 16, 16, 8, (1, 2, 3), (4, 6, 8)
 PAD = max(WIDTHS) - 1
@@ -140,13 +140,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, prior: float
     mix = labels.where(~held_out()).agg(F.avg(F.col("toxic").cast("double"))).first()[0] if prior is None else prior
     own = y.mean()
     model["shift"] = float(np.log(mix / (1 - mix)) - np.log(own / (1 - own)))
-    z = np.concatenate([logits(model, x, np.array([0, len(x)])) for x in texts]) + model["shift"]
-    score, lang = sigmoid(z), np.array([x or "" for x in t.column("lang").to_pylist()])
-    model["thresholds"] = {k: best_threshold(score[lang == k], y[lang == k], 0.7) for k in sorted(set(lang))}
+    # Thresholds come from all labelled rows that aren't held out, scored like any others.
+    known = plain(docs, "doc_id", "text", "lang").select(F.col("doc_id").cast("long"), "text", "lang").join(labelled(labels, "toxic"), "doc_id")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = known.mapInArrow(_score(shared, "y"), "doc_id long, lang string, score double, y int").select(F.coalesce("lang", F.lit("")).alias("lang"), "score", "y")
+    model["thresholds"] = {r["lang"]: r["threshold"] for r in best_thresholds(rows, 0.7).orderBy("lang").collect()}  # one a language
     return model
 
 
-def _score(shared):
+def _score(shared, *more):
     def run(batches):
         import pyarrow as pa
 
@@ -156,7 +158,7 @@ def _score(shared):
             if model is not None:
                 for at, ids, first in word_ids(batch.column("text")):
                     out[at : at + len(first) - 1] = sigmoid(logits(model, ids, first).astype(np.float64) + model["shift"])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(out)], names=["doc_id", "lang", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(out), *[batch.column(c) for c in more]], names=["doc_id", "lang", "score", *more])
 
     return run
 
