@@ -351,3 +351,31 @@ def test_components_merge_by_roots(spark):
     for cut in (0, 150, 220):
         parts = common.stash(common.connected_components(frame(edges[:cut])), "t")
         assert sorted(common.merged_components(parts, frame(edges[cut:])).collect()) == sorted(common.connected_components(frame(edges)).collect())
+
+
+def test_members_of_a_large_key_meet_all_that_share_enough(spark):
+    r = np.random.default_rng(3)
+    sketches = {i: (sorted(r.choice(40, 16, replace=False).tolist()), sorted(r.choice(30, int(r.integers(2, 15)), replace=False).tolist())) for i in range(120)}
+    part = {i: i if i % 3 else 0 for i in sketches}
+    facts = spark.createDataFrame([(i, (200, a, b)) for i, (a, b) in sketches.items()], "k1 long, facts struct<len: int, long: array<int>, short: array<int>>")
+    members = spark.createDataFrame([(1, 120, i, p) for i, p in part.items()], "key long, c long, k1 long, part long")
+    got = {(x["l1"], x["k1"]) for x in lines.across(lines.finer(members, facts), facts, 0.9).collect()}
+    enough = lambda a, b, k, w: 0 < len(set(a) & set(b)) >= int(max(len(a), len(b)) * k / w)
+    like = lambda a, b: enough(a[0], b[0], lines.SHARED, lines.WIDTH) or enough(a[1], b[1], lines.LETTERS_SHARED, lines.LETTERS_WIDTH)
+    want = {(i, j) for i in sketches for j in sketches if i < j and part[i] != part[j] and like(sketches[i], sketches[j])}
+    assert got == want and len(want) > 500
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    from pathlib import Path
+
+    from ctxloom.llm.common import stash
+    from ctxloom.operators.written import written
+
+    at = [Path(x) for x in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    files = lambda: {f for d in at for f in d.rglob("shuffle_*")}
+    for write in (stash, written):
+        before = files()
+        assert write(spark.range(1000).groupBy(F.col("id") % 7).count(), "test").count() == 7
+        left = files() - before
+        assert len({f.name.split("_")[1] for f in left}) <= 1  # the count's own
