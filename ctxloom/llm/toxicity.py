@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ctxloom.llm.common import FOLD, MARKS, Words, held_out, plain, texts_in_chunks
+from ctxloom.llm.common import FOLD, MARKS, Words, drop, held_out, plain, stash, texts_in_chunks
 from ctxloom.llm.learning import Adagrad, best_thresholds, collected, labelled, sample_ids, sigmoid
 
 BUCKETS, DIM, FILTERS, WIDTHS, PREFIXES = 1 << 16, 16, 8, (1, 2, 3), (4, 6, 8)
@@ -141,14 +141,24 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000, prior: float
     own = y.mean()
     model["shift"] = float(np.log(mix / (1 - mix)) - np.log(own / (1 - own)))
     # Thresholds come from all labelled rows that aren't held out, scored like any others.
-    known = plain(docs, "doc_id", "text", "lang").select(F.col("doc_id").cast("long"), "text", "lang").join(labelled(labels, "toxic"), "doc_id")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = known.mapInArrow(_score(shared, "y"), "doc_id long, lang string, score double, y int").select(F.coalesce("lang", F.lit("")).alias("lang"), "score", "y")
+    rows = stash(scored_labels(docs, labels, model), "scores")
     model["thresholds"] = {r["lang"]: r["threshold"] for r in best_thresholds(rows, 0.7).orderBy("lang").collect()}  # one a language
+    drop(rows)
     return model
 
 
-def _score(shared, *more):
+def scored_labels(docs: DataFrame, labels: DataFrame, model: dict) -> DataFrame:
+    """(lang, score, y) of all labelled rows that aren't held out. Texts are scored where they lie; only scores meet the labels."""
+    return _scores(docs, model).join(labelled(labels, "toxic"), "doc_id").select(F.coalesce("lang", F.lit("")).alias("lang"), "score", "y")
+
+
+def _scores(docs: DataFrame, model: dict | None) -> DataFrame:
+    """(doc_id, lang, score) of all documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 MB
+    return plain(docs, "doc_id", "text", "lang").select(F.col("doc_id").cast("long"), "text", "lang").mapInArrow(_score(shared), "doc_id long, lang string, score double")
+
+
+def _score(shared):
     def run(batches):
         import pyarrow as pa
 
@@ -158,15 +168,14 @@ def _score(shared, *more):
             if model is not None:
                 for at, ids, first in word_ids(batch.column("text")):
                     out[at : at + len(first) - 1] = sigmoid(logits(model, ids, first).astype(np.float64) + model["shift"])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(out), *[batch.column(c) for c in more]], names=["doc_id", "lang", "score", *more])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(out)], names=["doc_id", "lang", "score"])
 
     return run
 
 
 def score(docs: DataFrame, model: dict | None, cut: float = 0.7) -> DataFrame:
     """documents (doc_id, text, lang) -> doc_id, held_out, score, predicted, threshold (of the language), flagged."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 MB
-    rows = plain(docs, "doc_id", "text", "lang").select(F.col("doc_id").cast("long"), "text", "lang").mapInArrow(_score(shared), "doc_id long, lang string, score double")
+    rows = _scores(docs, model)
     threshold = F.lit(cut)
     for lang, at in (model or {}).get("thresholds", {}).items():
         threshold = F.when(F.col("lang") == lang, F.lit(at)).otherwise(threshold)

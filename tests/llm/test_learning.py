@@ -92,3 +92,20 @@ def test_pipeline(spark, data):
     packed = entry.queries()["pipeline"](spark, data)
     words = seen.select(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()[0]
     assert packed.agg(F.sum("n_tokens")).first()[0] == words
+
+
+def test_thresholds_move_no_text(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", "en") for i in range(50)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, toxic int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = toxicity.scored_labels(docs, labels, None)
+        plan = rows._jdf.queryExecution().executedPlan().toString().splitlines()
+        assert rows.count() == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(50))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    at = next(i for i, x in enumerate(plan) if "MapInArrow" in x)
+    depth = len(plan[at]) - len(plan[at].lstrip(" :+-"))
+    below = [x for x in plan[at + 1 :] if len(x) - len(x.lstrip(" :+-")) > depth]
+    assert any("Exchange" in x for x in plan[:at]) and not any("Exchange" in x for x in below[:4])
