@@ -24,6 +24,7 @@ def _hits(docs, terms, weights: dict[str, float]):
     doc, term, f = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
     for c, w in weights.items():
         for at, part in zip(np.cumsum([0, *[len(x) for x in docs.column(c).chunks]]), docs.column(c).chunks):
+            part = pc.split_pattern(part, " ") if pa.types.is_string(part.type) or pa.types.is_large_string(part.type) else part
             place = pc.index_in(part.flatten(), value_set=terms)
             known = np.asarray(place.is_valid())
             doc.append(np.asarray(pc.list_parent_indices(part)).astype(np.int64)[known] + at)
@@ -70,9 +71,9 @@ def _sums(docs, queries, weights: dict[str, float], k1: float, b: float, plain:
     return qids, out
 
 
-def dealt(docs: DataFrame, asked: DataFrame, key: list[str], words: int, count: int) -> tuple:
+def dealt(docs: DataFrame, asked: DataFrame, key: list[str], words: int, count: int, queries: int = QUERIES) -> tuple:
     """Both sides, grouped by block: `words` and `count` are those of all documents."""
-    blocks, asks = max(1, -(-count // DOCS), -(-words // WORDS)), max(1, -(-asked.select("qid").distinct().count() // QUERIES))
+    blocks, asks = max(1, -(-count // DOCS), -(-words // WORDS)), max(1, -(-asked.select("qid").distinct().count() // queries))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     place = lambda c, n: F.pmod(F.xxhash64(*c), F.lit(n)).cast("int")
     v = docs.where("d > 0").withColumn("_b", place(key, blocks)).withColumn("_a", every(asks))
@@ -80,7 +81,7 @@ def dealt(docs: DataFrame, asked: DataFrame, key: list[str], words: int, count:
     return v.groupBy("_b", "_a"), q.groupBy("_b", "_a")
 
 
-def candidates(docs: DataFrame, asked: DataFrame, key: list[str], words: int, count: int, weights: dict[str, float]) -> DataFrame:
+def candidates(docs: DataFrame, asked: DataFrame, key: list[str], words: int, count: int, weights: dict[str, float], queries: int = QUERIES) -> DataFrame:
     """(qid, n, d): how many documents share a term with a query, and the sum of their lengths, of each block."""
     kind = f"qid {asked.schema['qid'].dataType.simpleString()}, n long, d long"
 
@@ -94,12 +95,12 @@ def candidates(docs: DataFrame, asked: DataFrame, key: list[str], words: int, co
             n, d = (shared > 0).sum(axis=0), ((shared > 0) * v.column("d").to_numpy()[:, None]).sum(axis=0)
         return pa.table([qids, pa.array(n.astype(np.int64)), pa.array(d.astype(np.int64))], names=["qid", "n", "d"])
 
-    a, b = dealt(docs, asked.select("qid", "term", F.lit(0.0).alias("idf"), F.lit(1.0).alias("mean")), key, words, count)
+    a, b = dealt(docs, asked.select("qid", "term", F.lit(0.0).alias("idf"), F.lit(1.0).alias("mean")), key, words, count, queries)
     return a.cogroup(b).applyInArrow(run, kind).where("n > 0").groupBy("qid").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
 
 
-def scored(docs: DataFrame, asked: DataFrame, key: list[str], words: int, count: int, weights: dict[str, float], k1: float, b: float, keep: int | None = None, unit: float = 1.0) -> DataFrame:
-    """docs (key, d, the arrays of words that `weights` names, perhaps side), asked (qid, term, idf, mean) -> (qid, key, perhaps side, score), rounded to 6 places.
+def scored(docs: DataFrame, asked: DataFrame, key: list[str], words: int, count: int, weights: dict[str, float], k1: float, b: float, keep: int | None = None, unit: float = 1.0, queries: int = QUERIES) -> DataFrame:
+    """docs (key, d, the words that `weights` names, as arrays or with spaces between, perhaps side), asked (qid, term, idf, mean) -> (qid, key, perhaps side, score), rounded to 6 places.
 
     unit: what 1 is in idf; with whole numbers of a fine unit, and k1 of 0, sums are exact. Without `keep`, every pair that shares a term; with it only those that can be among the `keep` best of a query (and side)."""
     key = [*key, *(["side"] if "side" in docs.columns else [])]
@@ -125,5 +126,5 @@ def scored(docs: DataFrame, asked: DataFrame, key: list[str], words: int, count:
             s = every[x, y]
         return pa.table([qids.take(pa.array(y)), *[v.column(c).take(pa.array(x)) for c in key], pa.array(s)], names=["qid", *key, "score"])
 
-    a, b_ = dealt(docs, asked.select("qid", "term", "idf", "mean"), [c for c in key if c != "side"], words, count)
+    a, b_ = dealt(docs, asked.select("qid", "term", "idf", "mean"), [c for c in key if c != "side"], words, count, queries)
     return a.cogroup(b_).applyInArrow(run, kind).withColumn("score", F.round(F.col("score") / unit, 6))

@@ -26,15 +26,19 @@ class Corpus:
     branch_files: DataFrame
     placed: DataFrame
 
-    def written(self) -> Corpus:
-        """The same tables, written once: what reads them several times doesn't cut and hash the texts again."""
-        return Corpus(written(self.files, "files"), written(self.branch_files, "branch-files"), written(self.placed, "placed"))
+    def written(self, texts: bool = True) -> Corpus:
+        """The same tables, written once: what reads them several times doesn't cut and hash the texts again. texts: with those of whole files."""
+        return Corpus(written(self.files if texts else self.files.drop("text"), "files"), written(self.branch_files, "branch-files"), written(self.placed, "placed"))
 
     @property
     def chunks(self) -> DataFrame:
         """(chunk, symbol, content), each once."""
         return self.placed.select("chunk", "symbol", "content").dropDuplicates(["chunk"])
 
+    def chunks_of(self, some: DataFrame) -> DataFrame:
+        """chunks, but only those of `some` (chunk): they are picked before their texts are shuffled."""
+        return self.placed.select("chunk", "symbol", "content").join(some.select("chunk").distinct(), "chunk", "left_semi").dropDuplicates(["chunk"])
+
     def locations(self, branch: str) -> DataFrame:
         """(chunk, side, path, start_line, end_line) of what the branch shows; the language of the path must be the chunk's."""
         shown = self.files.join(self.branch_files.where(F.col("branch") == branch).select("path"), "path", "left_semi")
