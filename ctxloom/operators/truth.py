@@ -15,10 +15,13 @@ from ctxloom.functions.chunking import FUNCTION, chunk_files
 from ctxloom.functions.names import eval_symbol
 from ctxloom.functions.paths import eval_is_code
 from ctxloom.functions.text import baseline_terms, grep_terms
+from ctxloom.operators import blocks
 from ctxloom.operators.evaluate import B, K1, _idf, innermost, line_owners
-from ctxloom.operators.lexical import ranked
+from ctxloom.operators.lexical import frequencies, may_ask, ranked
 from ctxloom.operators.written import written
 
+#: Queries in a block of functions: a query's terms go to each block of documents, a document to each block of queries.
+QUERIES = 2048
 IDENTIFIER = "[A-Za-z_][A-Za-z0-9_]*"
 # Words that a parser may report as a method though they are not one, and the budgets and tolerance of the curve.
 JUNK = ("if", "else", "for", "while", "do", "switch", "case", "try", "catch", "finally", "return", "this", "super")
@@ -33,9 +36,10 @@ def tags(files: DataFrame) -> DataFrame:
     chunks = chunk_files(files).where((F.col("kind") == FUNCTION) & (F.col("symbol") != ""))
     last = F.element_at(F.split("symbol", "::"), -1)
     chunks = chunks.where(~F.lower(last).isin(*JUNK) & (F.col("end_line") >= F.col("start_line")))
-    named = files.select("path", "blob", "lang").join(chunks, ["blob", "lang"])
-    return named.select("path", F.col("start_line").alias("start"), F.col("end_line").alias("stop"), F.concat("path", F.lit("::"), eval_symbol(F.col("symbol"))).alias("name"),
-                        F.ceil(F.octet_length(F.regexp_replace("content", r"^\n+|\n+$", "")) / 3).cast("long").alias("tokens"))
+    # The paths meet names and sizes; the code itself isn't shuffled again.
+    known = chunks.select("blob", "lang", F.col("start_line").alias("start"), F.col("end_line").alias("stop"), eval_symbol(F.col("symbol")).alias("symbol"),
+                          F.ceil(F.octet_length(F.regexp_replace("content", r"^\n+|\n+$", "")) / 3).cast("long").alias("tokens"))
+    return files.select("path", "blob", "lang").join(known, ["blob", "lang"]).select("path", "start", "stop", F.concat("path", F.lit("::"), "symbol").alias("name"), "tokens")
 
 
 def changed(diff_files: DataFrame, spans: DataFrame) -> DataFrame:
@@ -57,46 +61,58 @@ def changed(diff_files: DataFrame, spans: DataFrame) -> DataFrame:
     return out
 
 
-def owned_words(files: DataFrame, spans: DataFrame) -> DataFrame:
-    """files (path, text), tags -> (path, name, term, n): identifiers in small letters, by the function that owns their line; name is null outside of functions."""
-    lines = files.select("path", F.posexplode(F.split("text", "\n", -1)).alias("line", "t")).withColumn("line", F.col("line") + 1)
-    words = lines.select("path", "line", F.explode(F.transform(F.regexp_extract_all("t", F.lit(IDENTIFIER), F.lit(0)), lambda w: F.lower(w))).alias("term"))
+def owned_words(files: DataFrame, spans: DataFrame, asked: DataFrame) -> DataFrame:
+    """files (path, text), tags, asked (term) -> (path, name, d, t): of each function that owns lines, how many identifiers they have, and those that may be asked for, in small letters with spaces between; name is null outside of functions.
+
+    A line is one row: its identifiers are counted and thinned before anything is shuffled."""
+    lines = files.select("path", F.posexplode(F.split("text", "\n", -1)).alias("line", "t"))
+    words = lines.select("path", (F.col("line") + 1).alias("line"), F.inline(F.array(F.struct(F.transform(F.regexp_extract_all("t", F.lit(IDENTIFIER), F.lit(0)), lambda w: F.lower(w)).alias("w")))))
+    words = words.select("path", "line", F.size("w").cast("long").alias("d"), F.array_join(F.filter("w", may_ask(asked)), " ").alias("t")).where("d > 0")
     owner = line_owners(spans.select("path", "start", "stop", "name"))
-    words = words.groupBy("path", "line", "term").agg(F.count("*").alias("n")).join(owner, ["path", "line"], "left")
-    return written(words.groupBy("path", "name", "term").agg(F.sum("n").alias("n")), "words")
+    own = words.join(owner, ["path", "line"], "left").groupBy("path", "name")
+    return written(own.agg(F.sum("d").alias("d"), F.array_join(F.collect_list(F.when(F.col("t") != "", F.col("t"))), " ").alias("t")), "words")
+
+
+def by_file(words: DataFrame) -> DataFrame:
+    """owned_words -> (path, words, functions, t): what the functions of a file have, and the terms of the whole file, as a written table."""
+    inside = F.col("name").isNotNull()
+    return written(words.groupBy("path").agg(F.sum(F.when(inside, F.col("d")).otherwise(0)).alias("words"), F.count("name").alias("functions"),
+                                             F.array_join(F.collect_set(F.when(F.col("t") != "", F.col("t"))), " ").alias("t")), "words-by-file")
 
 
-def idf_of(words: DataFrame, terms: DataFrame, files: DataFrame) -> DataFrame:
-    """(term, idf) of the asked terms, by the number of files that have them."""
-    df = words.join(terms.select("term").distinct(), "term").groupBy("term").agg(F.count_distinct("path").alias("df"))
+def idf_of(whole: DataFrame, terms: DataFrame, files: DataFrame) -> DataFrame:
+    """by_file -> (term, idf) of the asked terms, by the number of files that have them."""
+    df = frequencies(whole.select("path", "t"), {"": 1.0}, terms).withColumnRenamed("n", "df")
     total = files.agg(F.count("*").alias("docs"))  # one row
     return df.crossJoin(F.broadcast(total)).select("term", F.round(_idf(F.col("docs"), F.col("df")), 9).alias("idf"))
 
 
-def bm25_functions(files: DataFrame, spans: DataFrame, queries: DataFrame) -> DataFrame:
-    """(qid, name, score): a function is a document of its own; idf counts files. Lengths are averaged over the functions of the files that share a term with the query."""
-    terms = queries.select("qid", F.explode(F.array_distinct(baseline_terms(F.col("query")))).alias("term"))
-    words = owned_words(files, spans)
-    idf = idf_of(words, terms, files)
-    inside = words.where("name is not null")
-    length = inside.groupBy("path", "name").agg(F.sum("n").alias("dl"))
-    hits = words.join(terms.select("term").distinct(), "term")
-    candidates = hits.select("term", "path").distinct().join(terms, "term").select("qid", "path").distinct()
-    sums = length.groupBy("path").agg(F.sum("dl").alias("words"), F.count("*").alias("functions"))
-    mean = candidates.join(sums, "path").groupBy("qid").agg(F.greatest(F.lit(1.0), F.sum("words") / F.sum("functions")).alias("mean"))
-    rows = hits.where("name is not null").join(terms, "term").join(idf, "term").join(length, ["path", "name"]).join(mean, "qid")
-    s = F.col("idf") * F.col("n") * (K1 + 1) / (F.col("n") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
-    return rows.groupBy("qid", "name").agg(F.round(F.sum(s), 6).alias("score"))
-
-
-def grep_functions(files: DataFrame, spans: DataFrame, queries: DataFrame, most: int = 20) -> DataFrame:
-    """(qid, name, score): the sum of idf over the query's rarest identifiers that a function's lines have, each counted once; small and large letters are alike."""
-    terms = queries.select("qid", F.explode(F.array_distinct(F.transform(grep_terms(F.col("query")), lambda w: F.lower(w)))).alias("term"))
-    words = owned_words(files, spans)
-    known = terms.join(idf_of(words, terms, files), "term")
-    top = ranked(known, ["qid"], F.desc("idf"), "term", k=most)
-    hit = words.where("name is not null").join(top.select("qid", "term", "idf"), "term").select("qid", "name", "term", "idf").distinct()
-    return hit.groupBy("qid", "name").agg(F.round(F.sum("idf"), 6).alias("score"))
+def bm25_functions(files: DataFrame, spans: DataFrame, queries: DataFrame, keep: int | None = None) -> DataFrame:
+    """(qid, name, score): a function is a document of its own; idf counts files. Lengths are averaged over the functions of the files that share a term with the query. keep: no more than can be among the `keep` best of a query."""
+    terms = written(queries.select("qid", F.explode(F.array_distinct(baseline_terms(F.col("query")))).alias("term")), "asked")
+    words = owned_words(files, spans, terms)
+    whole = by_file(words)
+    hit = whole.where("t <> ''")
+    count, total = hit.agg(F.count("*"), F.coalesce(F.sum("words"), F.lit(0))).first()
+    sums = [blocks.candidates(hit.select("path", F.col(c).alias("d"), "t"), terms, ["path"], total, count, {"t": 1.0}, QUERIES).select("qid", F.col("d").alias(c)) for c in ("words", "functions")]
+    mean = sums[0].join(sums[1], "qid").select("qid", F.greatest(F.lit(1.0), F.col("words") / F.col("functions")).alias("mean"))
+    return _scored(words, terms.join(idf_of(whole, terms, files), "term").join(mean, "qid"), K1, B, keep)
+
+
+def grep_functions(files: DataFrame, spans: DataFrame, queries: DataFrame, keep: int | None = None, most: int = 20) -> DataFrame:
+    """(qid, name, score): the sum of idf over the query's rarest identifiers that a function's lines have, each counted once; small and large letters are alike. keep: as above."""
+    terms = written(queries.select("qid", F.explode(F.array_distinct(F.transform(grep_terms(F.col("query")), lambda w: F.lower(w)))).alias("term")), "asked")
+    words = owned_words(files, spans, terms)
+    top = ranked(terms.join(idf_of(by_file(words), terms, files), "term"), ["qid"], F.desc("idf"), "term", k=most)
+    # An idf has 9 places, so its sums are whole numbers of billionths.
+    return _scored(words, top.select("qid", "term", F.round(F.col("idf") * 1e9).alias("idf"), F.lit(1.0).alias("mean")), 0.0, 0.0, keep, 1e9)
+
+
+def _scored(words: DataFrame, known: DataFrame, k1: float, b: float, keep: int | None, unit: float = 1.0) -> DataFrame:
+    """owned_words, known (qid, term, idf, mean) -> (qid, name, score) of the functions that share a term with a query."""
+    inside = words.where("name is not null and t <> ''").select("name", "d", "t")
+    count, total = inside.agg(F.count("*"), F.coalesce(F.sum("d"), F.lit(0))).first()
+    return blocks.scored(inside, written(known.select("qid", "term", "idf", "mean"), "asked"), ["name"], total, count, {"t": 1.0}, k1, b, keep, unit, QUERIES)
 
 
 def budget_curve(found: DataFrame, truth: DataFrame, k: int = 10, budgets: tuple[int, ...] = BUDGETS, tolerance: float = TOLERANCE) -> DataFrame:

@@ -65,7 +65,7 @@ def answer_items(spark, d):
     paths = c.files.groupBy("blob", "lang").agg(F.min(F.struct("path", "text")).alias("f"))
     whole = whole.join(paths, ["blob", "lang"]).select("qid", F.concat("blob", F.lit(":"), "lang").alias("item"), (F.col("rank") * 2 - 1).alias("rank"), F.col("f.path").alias("path"),
                                                        F.lit(1).alias("start"), F.size(F.split("f.text", "\n", -1)).alias("stop"), F.col("f.text").alias("content"))
-    best = ranked(lexical.chunk_scores(c.chunks, q, ANSWER), ["qid"], F.desc("score"), "chunk", k=ANSWER)
+    best = ranked(lexical.chunk_scores(c.placed.select("chunk", "symbol", "content"), q, ANSWER), ["qid"], F.desc("score"), "chunk", k=ANSWER)
     places = c.placed.join(c.files.select("blob", "lang", "path"), ["blob", "lang"])
     places = places.join(best.select("chunk").distinct(), "chunk").groupBy("chunk").agg(F.min(F.struct("path", "start_line", "end_line", "content")).alias("p"))
     best = best.join(places, "chunk").select("qid", F.col("chunk").alias("item"), (F.col("rank") * 2).alias("rank"), F.col("p.path").alias("path"),
@@ -242,8 +242,8 @@ truth as (select qid, 'function' as kind, name as item, n from do_
 
 
 @query("function_truth", f"with {TOUCHED} select * from truth")
-def function_truth(spark, d):
-    return truth.changed(diffs.files_of(changes(spark, d).select("qid", "diff")), symbol_scan(spark, d))
+def function_truth(spark, d, tags=None):
+    return truth.changed(diffs.files_of(changes(spark, d).select("qid", "diff")), symbol_scan(spark, d) if tags is None else tags)
 
 
 QUESTIONS = f"""
@@ -268,8 +268,9 @@ fb as (select qid, name, round(sum(idf * n * 1.9 / (n + 0.9 * (0.6 + 0.4 * dl /
 fr as (select * from (select *, row_number() over (partition by qid order by score desc, name) as rank from fb) where rank <= 50)"""
 
 
-def ranked_functions(spark, d, scores):
-    return ranked(scores(code_files(spark, d).select("path", "text"), symbol_scan(spark, d), changes(spark, d).select("qid", "query")), ["qid"], F.desc("score"), "name", k=50)
+def ranked_functions(spark, d, scores, tags=None):
+    tags = symbol_scan(spark, d) if tags is None else tags
+    return ranked(scores(code_files(spark, d).select("path", "text"), tags, changes(spark, d).select("qid", "query"), 50), ["qid"], F.desc("score"), "name", k=50)
 
 
 @query("function_bm25_baseline", f"with {CODE},{FUNC_BM25} select * from fr")
@@ -285,8 +286,8 @@ def function_grep_baseline(spark, d):
     return ranked_functions(spark, d, truth.grep_functions)
 
 
-def function_truths(spark, d):
-    return function_truth(spark, d).where("kind = 'function'").select("qid", "item")
+def function_truths(spark, d, tags):
+    return function_truth(spark, d, tags).where("kind = 'function'").select("qid", "item")
 
 
 KS = (5, 10, 50)
@@ -302,8 +303,9 @@ FUNC_MACRO = " union all ".join(f"select '{m}' as metric, round(avg({m}), 6) as
 
 @query("function_metrics", f"{FUNC_METRICS} {FUNC_MACRO}")
 def function_metrics(spark, d):
-    found = function_bm25_baseline(spark, d).select("qid", F.col("name").alias("item"), "rank")
-    return evaluate.macro(evaluate.per_query(found, function_truths(spark, d), KS))
+    tags = symbol_scan(spark, d)  # written once for both sides
+    found = ranked_functions(spark, d, truth.bm25_functions, tags).select("qid", F.col("name").alias("item"), "rank")
+    return evaluate.macro(evaluate.per_query(written(found, "found"), function_truths(spark, d, tags), KS))
 
 
 CURVE_BUDGETS = (40, 80, 160, 320)
@@ -318,5 +320,7 @@ cr as (select budget, round(avg(hits / size::double), 6) as recall from (select
        from tz cross join cb left join ch using (qid) group by budget, tz.qid) group by budget)
 select coalesce(budget, -1) as budget, recall, coalesce(budget, 9223372036854775807) = (select min(coalesce(budget, 9223372036854775807)) from cr where recall >= round((select recall from cr where budget is null) - 0.02, 6)) as "least" from cr""")
 def budget_curve(spark, d):
-    found = function_bm25_baseline(spark, d).join(symbol_scan(spark, d).select("name", "tokens"), "name").select("qid", F.col("name").alias("item"), "rank", "tokens")
-    return truth.budget_curve(found, function_truths(spark, d), budgets=CURVE_BUDGETS)
+    tags = symbol_scan(spark, d)  # written once for both sides
+    found = written(ranked_functions(spark, d, truth.bm25_functions, tags), "found")
+    found = found.join(tags.select("name", "tokens"), "name").select("qid", F.col("name").alias("item"), "rank", "tokens")
+    return truth.budget_curve(found, function_truths(spark, d, tags), budgets=CURVE_BUDGETS)

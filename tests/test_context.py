@@ -158,3 +158,11 @@ def test_baseline_scores_by_function(spark):
     size = lambda t: len(re.findall("[A-Za-z_]+", t))
     assert size("def haul(self):\n  anchor chain") == 5 and got == {"a.py::A::haul": pytest.approx(2 * s(1, 5), abs=1e-4), "a.py::A::row": pytest.approx(s(2, 6), abs=1e-4)}
     assert {r["name"]: r["score"] for r in truth.grep_functions(files, spans, asked).collect()} == {"a.py::A::haul": pytest.approx(2 * idf, abs=1e-5), "a.py::A::row": pytest.approx(idf, abs=1e-5)}
+
+
+def test_a_line_of_a_function_is_one_row(spark):
+    files = spark.createDataFrame([("a.py", "def f():\n    # oak elm oak\n    return 1\nash")], "path string, text string")
+    spans = spark.createDataFrame([("a.py", 1, 3, "a.py::f", 9)], "path string, start int, stop int, name string, tokens long")
+    words = truth.owned_words(files, spans, spark.createDataFrame([("oak",), ("ash",)], "term string"))
+    got = {r["name"]: (r["d"], [w for w in r["t"].split(" ") if w in ("oak", "ash")]) for r in words.collect()}
+    assert got == {"a.py::f": (6, ["oak", "oak"]), None: (1, ["ash"])}

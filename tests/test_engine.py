@@ -310,3 +310,16 @@ def test_recall_and_selection_ask_every_fiftieth_vector(spark, tmp_path):
     assert sorted(map(tuple, climbed.collect())) == sorted(map(tuple, full.collect())) and full.count() == 7 * 40
     picked = [(r["qid"], r["chunk"]) for r in catalogue.mmr_select(spark, str(tmp_path)).collect()]
     assert {q for q, _ in picked} == set(asked) and len(picked) == 70 and all(i in order[q][:50] for q, i in picked)
+
+
+def test_terms_are_thinned_before_they_are_shuffled(spark):
+    asked = spark.createDataFrame([("alpha",), ("beta",)], "term string")
+    words = spark.range(2000).select(F.concat(F.lit("w"), F.col("id")).alias("t")).agg(F.concat(F.array(F.lit("alpha"), F.lit("beta")), F.collect_list("t")).alias("t_c"), F.lit(2002).cast("long").alias("d"))
+    got = lexical.thinned(words, [], {"c": 1.0}, lexical.may_ask(asked)).first()
+    left = got["t_c"].split(" ")
+    assert got["d"] == 2002 and {"alpha", "beta"} <= set(left) and len(left) < 20
+    # Of a document that is there twice, and of one over two rows, scores and lengths are those of one row.
+    q = spark.createDataFrame([(1, "alpha beta")], "qid int, query string")
+    one = spark.createDataFrame([("x", "", "alpha beta gamma"), ("y", "", "beta delta"), ("z", "", "none")], "chunk string, symbol string, content string")
+    rows = lambda df: sorted((r["chunk"], r["score"]) for r in lexical.chunk_scores(df, q).collect())
+    assert rows(one.unionByName(one.where("chunk = 'x'"))) == rows(one)
