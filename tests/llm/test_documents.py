@@ -366,6 +366,28 @@ def test_members_of_a_large_key_meet_all_that_share_enough(spark):
     assert got == want and len(want) > 500
 
 
+def test_members_meet_in_slices_that_lose_nothing(spark, monkeypatch):
+    from pathlib import Path
+
+    r = np.random.default_rng(29)
+    facts = spark.createDataFrame([(i, (200, sorted(r.choice(40, 16, replace=False).tolist()), [])) for i in range(60)], "k1 long, facts struct<len: int, long: array<int>, short: array<int>>")
+    members = spark.createDataFrame([(int(k), 60, i, i) for i in range(60) for k in r.choice(20, 5, replace=False)], "key long, c long, k1 long, part long")
+    near = lambda df: {(x["l1"], x["k1"], x["shared"]) for x in df.collect()}
+    kept = lambda: set(Path(common.shared_dir(spark)).glob("ctxloom-*"))
+    whole = near(lines.across(members, facts, 0.9))
+    pairs = common.stash(spark.createDataFrame([(j, i) for i in range(60) for j in range(i + 1, 60)], "k1 long, l1 long"), "test")
+    every = near(lines.likely(pairs, facts, 0.9))
+    monkeypatch.setattr(lines, "SLICE_ROWS", 100)
+    written, stash = [], lines.stash
+    monkeypatch.setattr(lines, "stash", lambda df, name: written.append(name) or stash(df, name))
+    before = kept()
+    sliced = lines.across(members, facts, 0.9)
+    assert near(sliced) == whole and len(whole) > 100 and written.count("pairs") == 4  # 300 rows in three slices, and their union
+    assert {p.name for p in kept() - before} == {sliced.stash_path.rsplit("/", 1)[1]}
+    monkeypatch.setattr(lines, "SLICE_ROWS", 1000)
+    assert near(lines.likely(pairs, facts, 0.9)) == every >= whole
+
+
 def test_a_written_table_leaves_no_shuffle_files(spark):
     from pathlib import Path
 
