@@ -388,6 +388,58 @@ def test_members_meet_in_slices_that_lose_nothing(spark, monkeypatch):
     assert near(lines.likely(pairs, facts, 0.9)) == every >= whole
 
 
+def test_lines_too_unlike_in_length_share_no_key_and_alike_ones_all(spark):
+    from itertools import pairwise
+
+    rows = [(n, n, list(range(16)), []) for n in range(10, 1000)]
+    classes = spark.createDataFrame(rows, "k1 long, len int, long array<int>, short array<int>")
+    keys = {}
+    for r in lines.keyed(classes, 0.9).collect():
+        keys.setdefault(r["k1"], set()).add(r["key"])
+    for n in range(10, 1000):
+        most = max(m for m in range(n, 1000) if m - n <= m // 10)
+        assert all(len(keys[n] & keys[m]) >= lines.KEYED - 1 for m in (n, (n + most) // 2, most)), n
+    assert not any(keys[n] & keys[m] for n, m in pairwise((10, 30, 90, 270, 810)))
+    assert sum(len(x) for x in keys.values()) < 1.3 * len(rows) * (lines.KEYED - 1)
+
+
+def test_outlines_leave_all_pairs_that_fit_and_few_others(spark):
+    r = np.random.default_rng(31)
+    draw = lambda n, of: sorted(r.choice(of, n, replace=False).tolist())
+    rows = [(i, (200 + i % 30, draw(16, 60) if i % 3 else [], draw(int(r.integers(1, 15)), 40) if i % 3 != 1 else [])) for i in range(150)]
+    rows += [(150 + i, (200, draw(16, 1_000_000), [])) for i in range(150)]
+    facts = spark.createDataFrame(rows, "k1 long, facts struct<len: int, long: array<int>, short: array<int>>")
+    both = facts.join(facts.toDF("l1", "b"), F.expr("l1 < k1")).withColumnRenamed("facts", "a").select("k1", "l1", "a", "b")
+    fits = {(x["k1"], x["l1"]) for x in lines.fitting(both, 0.9).collect()}
+    seen = lines.outlines(facts)
+    left = {(x["k1"], x["l1"]) for x in seen.toDF("k1", "a").join(seen.toDF("l1", "b"), F.expr("l1 < k1")).where(lines.possible(0.9)).select("k1", "l1").collect()}
+    assert fits <= left and len(fits) > 300
+    assert len([x for x in left if min(x) >= 150]) < 0.02 * 150 * 149 / 2
+
+
+def test_many_lines_alike_are_not_compared_all_with_all(spark, monkeypatch):
+    r = np.random.default_rng(37)
+    word = lambda n: "".join(chr(97 + c) for c in r.integers(0, 26, n))
+    docs = table(spark, [(i, word(9), "a") for i in range(60)])
+    classes = spark.createDataFrame([(i, 200, list(range(i, i + 16)), []) for i in range(60)], "k1 long, len int, long array<int>, short array<int>")
+    # No key connects them at first; then all are like all.
+    pairs = common.stash(spark.createDataFrame([(j, i, i, j, 16) for i in range(60) for j in range(i + 1, 60)], "k1 long, l1 long, p long, q long, shared int"), "test")
+    compared = []
+
+    def verified(_docs, _classes, asked, *_):
+        compared.append(asked.count())
+        return common.stash(asked.select(F.col("k1").alias("src"), F.col("l1").alias("dst")), "links")
+
+    monkeypatch.setattr(lines, "verified", verified)
+    monkeypatch.setattr(lines, "likely", lambda *_: common.stash(pairs.where("false").select("k1", "l1", "shared"), "test"))
+    monkeypatch.setattr(lines, "met", lambda members, facts, similarity: [], raising=False)
+    monkeypatch.setattr(lines, "finer", lambda members, *_: members, raising=False)
+    monkeypatch.setattr(lines, "confirmed", lambda *_: common.stash(pairs, "test"), raising=False)
+    monkeypatch.setattr(lines, "across", lambda *_: common.stash(pairs, "test"))
+    out = {x["node"]: x["root"] for x in lines.similar(docs, classes, 0.9, False).toDF("node", "root").collect()}
+    assert out == {i: 0 for i in range(60)} and sum(compared) <= 60
+
+
 def test_a_written_table_leaves_no_shuffle_files(spark):
     from pathlib import Path
 
