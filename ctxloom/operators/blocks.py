@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: A block has about so many documents, words and queries.
 DOCS, WORDS, QUERIES = 8192, 500_000, 256
-#: Rows of words by queries that are held at once.
-AT_ONCE = 4_000_000
+#: Documents of a block whose scores are worked on at once, and of those that are only counted.
+AT_ONCE, COUNTED = 32_768, 2048
 
 
 def _hits(docs, terms, weights: dict[str, float]):
@@ -35,45 +35,113 @@ def _hits(docs, terms, weights: dict[str, float]):
 
 
 def _asked(queries):
-    """-> distinct terms, their idf, the row of each query among the terms by queries, the queries' ids and mean lengths."""
+    """-> distinct terms, their idf, the places of each query's terms, the queries' ids and mean lengths."""
     import pyarrow.compute as pc
 
     terms, qids = pc.unique(queries.column("term")), pc.unique(queries.column("qid"))
     terms, qids = (x.combine_chunks() if hasattr(x, "combine_chunks") else x for x in (terms, qids))
     t, q = (np.asarray(pc.index_in(queries.column(c), value_set=v)).astype(np.int64) for c, v in (("term", terms), ("qid", qids)))
-    idf, mean, has = np.zeros(len(terms)), np.ones(len(qids)), np.zeros((len(terms), len(qids)))
-    idf[t], has[t, q] = queries.column("idf").to_numpy(), 1.0
+    idf, mean = np.zeros(len(terms)), np.ones(len(qids))
+    idf[t] = queries.column("idf").to_numpy()
     mean[q] = queries.column("mean").to_numpy()
-    return terms, idf, has, qids, mean
+    own = np.unique(q * len(terms) + t)
+    return terms, idf, np.split(own % len(terms), np.searchsorted(own, np.arange(1, len(qids)) * len(terms))), qids, mean
 
 
-def _sums(docs, queries, weights: dict[str, float], k1: float, b: float, plain: bool = False):
-    """-> queries' ids and the scores of documents by queries, 0 where they share no term; plain: how many terms they share."""
-    terms, idf, has, qids, mean = _asked(queries)
+def _best(docs, asked, weights: dict[str, float], k1: float, b: float, keep: int | None, unit: float, sides, known):
+    """-> rows of docs, places of queries, scores: every pair that shares a term; with `keep` those that can be among the best of a query and side.
+
+    known: of each side and query the `keep` best scores so far, which it adds to. What they say nothing new can reach isn't worked out: common
+    terms count only for documents whose rarer ones leave them a chance."""
+    terms, idf, own, _, mean = asked
     doc, term, f = _hits(docs, terms, weights)
-    out, d = np.zeros((docs.num_rows, len(qids))), docs.column("d").to_numpy().astype(np.float64)
-    one = np.all(mean == mean[:1])
-    starts = np.flatnonzero(np.diff(doc, prepend=-1))
-    step, at = max(1, AT_ONCE // max(1, len(qids))), 0
-    while at < len(starts):
-        # Whole documents, as many as fit; a longer one is alone.
-        to = max(at + 1, int(np.searchsorted(starts, starts[at] + step, side="right")) - 1)
-        to = len(starts) if starts[at] + step >= len(doc) else min(to, len(starts))
-        lo, hi = starts[at], starts[to] if to < len(starts) else len(doc)
-        x, t = f[lo:hi, None], term[lo:hi]
-        if plain:
-            s = has[t]
-        else:
-            length = (d[doc[lo:hi]][:, None] / (mean[None, :1] if one else mean[None, :]))
-            s = idf[t][:, None] * x * (k1 + 1) / (x + k1 * (1 - b + b * length)) * has[t]
-        out[doc[starts[at:to]]] = np.add.reduceat(s, starts[at:to] - lo, axis=0)
-        at = to
-    return qids, out
-
-
-def dealt(docs: DataFrame, asked: DataFrame, key: list[str], words: int, count: int, queries: int = QUERIES) -> tuple:
-    """Both sides, grouped by block: `words` and `count` are those of all documents."""
-    blocks, asks = max(1, -(-count // DOCS), -(-words // WORDS)), max(1, -(-asked.select("qid").distinct().count() // queries))
+    by = np.argsort(term, kind="stable")
+    doc, term, f = doc[by].astype(np.int32), term[by], f[by]
+    first = np.searchsorted(term, np.arange(len(terms) + 1))
+    gain, d = idf[term] * f * (k1 + 1), docs.column("d").to_numpy().astype(np.float64)[doc]
+    most = np.zeros(len(terms))
+    if len(doc):
+        full = np.flatnonzero(first[1:] > first[:-1])
+        most[full] = np.maximum.reduceat(gain / (f + k1 * (1 - b + b * (d / mean.max()))), first[full])
+    room, out = 1e-6 * unit, []
+    rows_of = {s: np.flatnonzero(sides == s) for s in known} if len(known) > 1 else dict.fromkeys(known)
+
+    def added(at, places, of):
+        """What these places of a query's terms add to each document."""
+        x, length = f[places], d[places] / mean[at]
+        return np.bincount(of, weights=gain[places] / (x + k1 * (1 - b + b * length)), minlength=docs.num_rows)
+
+    for at, ts in enumerate(own):
+        ts = ts[first[ts + 1] > first[ts]]
+        if not len(ts):
+            continue
+        ts = ts[np.argsort(most[ts], kind="stable")]
+        # A side that has fewer than `keep` yet takes all there is.
+        least = min((x[at][0] if len(x[at]) == keep else 0.0) for x in known.values()) - room if keep is not None else 0.0
+        upto = np.cumsum(most[ts]) * (1 + 1e-9)
+        few = int(np.searchsorted(upto, least)) if least > 0 else 0
+        if few == len(ts):
+            continue
+        rest = upto[few - 1] if few else 0.0
+        take = lambda which: np.concatenate([np.arange(first[t], first[t + 1]) for t in which])
+        places = take(ts[few:])
+        total = added(at, places, doc[places])
+        if few:
+            chance = (total > 0) & (total + rest >= least)
+            if not chance.any():
+                continue
+            total[~chance] = 0.0
+            of = np.concatenate([doc[first[t] : first[t + 1]] for t in ts[:few]])
+            hit = np.flatnonzero(chance[of])
+            places = take(ts[:few])[hit]
+            total += added(at, places, of[hit])
+        for side, x in known.items():
+            rows = rows_of[side]
+            part = total if rows is None else total[rows]
+            if keep is None:
+                i = np.flatnonzero(part > 0)
+            else:
+                low = x[at][0] if len(x[at]) == keep else 0.0
+                # The `keep` best of some are no better than those of all.
+                if not low and len(part) > 64 * keep:
+                    low = np.partition(part[::16], -keep)[-keep]
+                i = np.flatnonzero((part > 0) & (part >= low - room))
+                x[at] = np.sort(np.concatenate([x[at], part[i]]))[-keep:]
+                # What rounds to the same score is a tie, and ids decide between ties later.
+                i = i[part[i] >= x[at][0] - room] if len(x[at]) == keep else i
+            out.append((i if rows is None else rows[i], np.full(len(i), at), part[i]))
+    none = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
+    return tuple(np.concatenate([o[n] for o in [none, *out]]) for n in range(3))
+
+
+def _counted(docs, asked, weights: dict[str, float], sums: tuple[str, ...]):
+    """-> for each query, how many documents share a term with it, and what those have in the columns `sums`. A term is one bit for each document."""
+    terms, _, own, _, _ = asked
+    doc, term, _ = _hits(docs, terms, weights)
+    each = np.stack([np.ones(docs.num_rows, dtype=np.int64), *[docs.column(c).to_numpy().astype(np.int64) for c in sums]], axis=1)
+    out, wide = np.zeros((len(own), each.shape[1]), dtype=np.int64), -(-docs.num_rows // 8)
+    if not len(doc):
+        return out
+    by = np.lexsort((doc, term))
+    doc, (there, term) = doc[by], np.unique(term[by], return_inverse=True)
+    byte = term.ravel() * wide + doc // 8
+    starts = np.flatnonzero(np.diff(byte, prepend=-1))
+    bits = np.zeros(len(there) * wide, dtype=np.uint8)
+    bits[byte[starts]] = np.bitwise_or.reduceat((1 << (doc % 8)).astype(np.uint8), starts)
+    bits, row = bits.reshape(len(there), wide), np.full(len(terms), -1)
+    row[there] = np.arange(len(there))
+    for at, ts in enumerate(own):
+        r = row[ts]
+        r = r[r >= 0]
+        if len(r):
+            any_ = np.unpackbits(np.bitwise_or.reduce(bits[r], axis=0), count=docs.num_rows, bitorder="little")
+            out[at] = each[any_.view(bool)].sum(axis=0)
+    return out
+
+
+def dealt(docs: DataFrame, asked: DataFrame, key: list[str], words: int, count: int, queries: int = QUERIES, size: tuple[int, int] = (DOCS, WORDS)) -> tuple:
+    """Both sides, grouped by block: `words` and `count` are those of all documents, `size` the documents and words of a block."""
+    blocks, asks = max(1, -(-count // size[0]), -(-words // size[1])), max(1, -(-asked.select("qid").distinct().count() // queries))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     place = lambda c, n: F.pmod(F.xxhash64(*c), F.lit(n)).cast("int")
     v = docs.where("d > 0").withColumn("_b", place(key, blocks)).withColumn("_a", every(asks))
@@ -81,28 +149,29 @@ def dealt(docs: DataFrame, asked: DataFrame, key: list[str], words: int, count:
     return v.groupBy("_b", "_a"), q.groupBy("_b", "_a")
 
 
-def candidates(docs: DataFrame, asked: DataFrame, key: list[str], words: int, count: int, weights: dict[str, float], queries: int = QUERIES) -> DataFrame:
-    """(qid, n, d): how many documents share a term with a query, and the sum of their lengths, of each block."""
-    kind = f"qid {asked.schema['qid'].dataType.simpleString()}, n long, d long"
+def candidates(docs: DataFrame, asked: DataFrame, key: list[str], words: int, count: int, weights: dict[str, float], queries: int = QUERIES, sums: tuple[str, ...] = ("d",)) -> DataFrame:
+    """(qid, n, sums): how many documents share a term with a query, and the sums of their columns `sums`."""
+    names = ["n", *sums]
+    kind = f"qid {asked.schema['qid'].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in names)
 
     def run(v, q):
         import pyarrow as pa
 
-        n = d = np.zeros(0, dtype=np.int64)
-        qids = q.column("qid").slice(0, 0)
+        qids, out = q.column("qid").slice(0, 0), np.zeros((0, len(names)), dtype=np.int64)
         if v.num_rows and q.num_rows:
-            qids, shared = _sums(v, q, weights, 0, 0, plain=True)
-            n, d = (shared > 0).sum(axis=0), ((shared > 0) * v.column("d").to_numpy()[:, None]).sum(axis=0)
-        return pa.table([qids, pa.array(n.astype(np.int64)), pa.array(d.astype(np.int64))], names=["qid", "n", "d"])
+            known = _asked(q)
+            qids = known[3]
+            out = sum(_counted(v.slice(at, COUNTED), known, weights, sums) for at in range(0, v.num_rows, COUNTED))
+        return pa.table([qids, *[pa.array(out[:, i]) for i in range(len(names))]], names=["qid", *names])
 
     a, b = dealt(docs, asked.select("qid", "term", F.lit(0.0).alias("idf"), F.lit(1.0).alias("mean")), key, words, count, queries)
-    return a.cogroup(b).applyInArrow(run, kind).where("n > 0").groupBy("qid").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+    return a.cogroup(b).applyInArrow(run, kind).where("n > 0").groupBy("qid").agg(*[F.sum(c).alias(c) for c in names])
 
 
-def scored(docs: DataFrame, asked: DataFrame, key: list[str], words: int, count: int, weights: dict[str, float], k1: float, b: float, keep: int | None = None, unit: float = 1.0, queries: int = QUERIES) -> DataFrame:
+def scored(docs: DataFrame, asked: DataFrame, key: list[str], words: int, count: int, weights: dict[str, float], k1: float, b: float, keep: int | None = None, unit: float = 1.0, queries: int = QUERIES, size: tuple[int, int] = (DOCS, WORDS)) -> DataFrame:
     """docs (key, d, the words that `weights` names, as arrays or with spaces between, perhaps side), asked (qid, term, idf, mean) -> (qid, key, perhaps side, score), rounded to 6 places.
 
-    unit: what 1 is in idf; with whole numbers of a fine unit, and k1 of 0, sums are exact. Without `keep`, every pair that shares a term; with it only those that can be among the `keep` best of a query (and side)."""
+    unit: what 1 is in idf; with whole numbers of a fine unit, and k1 of 0, sums are exact. Without `keep`, every pair that shares a term; with it only those that can be among the `keep` best of a query (and side). No idf is negative."""
     key = [*key, *(["side"] if "side" in docs.columns else [])]
     kind = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for df, cs in ((asked, ["qid"]), (docs, key)) for c in cs) + ", score double"
 
@@ -112,19 +181,22 @@ def scored(docs: DataFrame, asked: DataFrame, key: list[str], words: int, count:
         x = y = np.zeros(0, dtype=np.int64)
         s, qids = np.zeros(0), q.column("qid")
         if v.num_rows and q.num_rows:
-            qids, every = _sums(v, q, weights, k1, b)
-            found = []
+            asks = _asked(q)
+            qids, found = asks[3], []
             sides = np.asarray(v.column("side").to_pylist(), dtype=object) if "side" in key else np.zeros(v.num_rows)
-            for side in set(sides):
-                rows = np.flatnonzero(sides == side)
-                part = every[rows]
-                # What rounds to the same score is a tie, and ids decide between ties later.
-                cut = np.partition(part, len(rows) - keep, axis=0)[len(rows) - keep] - 1e-6 * unit if keep is not None and len(rows) > keep else np.zeros(part.shape[1])
-                i, j = np.nonzero((part > 0) & (part >= cut))
-                found.append((rows[i], j))
-            x, y = (np.concatenate([f[n] for f in found]) for n in (0, 1))
-            s = every[x, y]
+            known = {side: [np.zeros(0)] * len(qids) for side in set(sides)}
+            for at in range(0, v.num_rows, AT_ONCE):
+                i, j, part = _best(v.slice(at, AT_ONCE), asks, weights, k1, b, keep, unit, sides[at : at + AT_ONCE], known)
+                found.append((i + at, j, part))
+            x, y, s = (np.concatenate([f[n] for f in found]) for n in range(3))
+            if keep is not None:
+                cut = {side: np.array([p[0] if len(p) == keep else 0.0 for p in best]) - 1e-6 * unit for side, best in known.items()}
+                low = np.zeros(len(x))
+                for side in known:
+                    own = sides[x] == side
+                    low[own] = cut[side][y[own]]
+                x, y, s = x[s >= low], y[s >= low], s[s >= low]
         return pa.table([qids.take(pa.array(y)), *[v.column(c).take(pa.array(x)) for c in key], pa.array(s)], names=["qid", *key, "score"])
 
-    a, b_ = dealt(docs, asked.select("qid", "term", "idf", "mean"), [c for c in key if c != "side"], words, count, queries)
+    a, b_ = dealt(docs, asked.select("qid", "term", "idf", "mean"), [c for c in key if c != "side"], words, count, queries, size)
     return a.cogroup(b_).applyInArrow(run, kind).withColumn("score", F.round(F.col("score") / unit, 6))

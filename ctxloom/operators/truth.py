@@ -21,7 +21,9 @@ from ctxloom.operators.lexical import frequencies, may_ask, ranked
 from ctxloom.operators.written import written
 
 #: Queries in a block of functions: a query's terms go to each block of documents, a document to each block of queries.
-QUERIES = 2048
+QUERIES = 16_384
+#: Functions and words in a block: the more, the fewer rows are among the best of one.
+SIZE = (131_072, 8_000_000)
 IDENTIFIER = "[A-Za-z_][A-Za-z0-9_]*"
 # Words that a parser may report as a method though they are not one, and the budgets and tolerance of the curve.
 JUNK = ("if", "else", "for", "while", "do", "switch", "case", "try", "catch", "finally", "return", "this", "super")
@@ -94,8 +96,8 @@ def bm25_functions(files: DataFrame, spans: DataFrame, queries: DataFrame, keep:
     whole = by_file(words)
     hit = whole.where("t <> ''")
     count, total = hit.agg(F.count("*"), F.coalesce(F.sum("words"), F.lit(0))).first()
-    sums = [blocks.candidates(hit.select("path", F.col(c).alias("d"), "t"), terms, ["path"], total, count, {"t": 1.0}, QUERIES).select("qid", F.col("d").alias(c)) for c in ("words", "functions")]
-    mean = sums[0].join(sums[1], "qid").select("qid", F.greatest(F.lit(1.0), F.col("words") / F.col("functions")).alias("mean"))
+    sums = blocks.candidates(hit.select("path", F.col("words").alias("d"), "functions", "t"), terms, ["path"], total, count, {"t": 1.0}, QUERIES, ("d", "functions"))
+    mean = sums.select("qid", F.greatest(F.lit(1.0), F.col("d") / F.col("functions")).alias("mean"))
     return _scored(words, terms.join(idf_of(whole, terms, files), "term").join(mean, "qid"), K1, B, keep)
 
 
@@ -112,7 +114,7 @@ def _scored(words: DataFrame, known: DataFrame, k1: float, b: float, keep: int |
     """owned_words, known (qid, term, idf, mean) -> (qid, name, score) of the functions that share a term with a query."""
     inside = words.where("name is not null and t <> ''").select("name", "d", "t")
     count, total = inside.agg(F.count("*"), F.coalesce(F.sum("d"), F.lit(0))).first()
-    return blocks.scored(inside, written(known.select("qid", "term", "idf", "mean"), "asked"), ["name"], total, count, {"t": 1.0}, k1, b, keep, unit, QUERIES)
+    return blocks.scored(inside, written(known.select("qid", "term", "idf", "mean"), "asked"), ["name"], total, count, {"t": 1.0}, k1, b, keep, unit, QUERIES, SIZE)
 
 
 def budget_curve(found: DataFrame, truth: DataFrame, k: int = 10, budgets: tuple[int, ...] = BUDGETS, tolerance: float = TOLERANCE) -> DataFrame:
