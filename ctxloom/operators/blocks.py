@@ -51,64 +51,37 @@ def _asked(queries):
 def _best(docs, asked, weights: dict[str, float], k1: float, b: float, keep: int | None, unit: float, sides, known):
     """-> rows of docs, places of queries, scores: every pair that shares a term; with `keep` those that can be among the best of a query and side.
 
-    known: of each side and query the `keep` best scores so far, which it adds to. What they say nothing new can reach isn't worked out: common
-    terms count only for documents whose rarer ones leave them a chance."""
+    known: of each side and query the `keep` best scores so far, which it adds to."""
     terms, idf, own, _, mean = asked
     doc, term, f = _hits(docs, terms, weights)
     by = np.argsort(term, kind="stable")
     doc, term, f = doc[by].astype(np.int32), term[by], f[by]
     first = np.searchsorted(term, np.arange(len(terms) + 1))
     gain, d = idf[term] * f * (k1 + 1), docs.column("d").to_numpy().astype(np.float64)[doc]
-    most = np.zeros(len(terms))
-    if len(doc):
-        full = np.flatnonzero(first[1:] > first[:-1])
-        most[full] = np.maximum.reduceat(gain / (f + k1 * (1 - b + b * (d / mean.max()))), first[full])
     room, out = 1e-6 * unit, []
     rows_of = {s: np.flatnonzero(sides == s) for s in known} if len(known) > 1 else dict.fromkeys(known)
-
-    def added(at, places, of):
-        """What these places of a query's terms add to each document."""
-        x, length = f[places], d[places] / mean[at]
-        return np.bincount(of, weights=gain[places] / (x + k1 * (1 - b + b * length)), minlength=docs.num_rows)
-
     for at, ts in enumerate(own):
         ts = ts[first[ts + 1] > first[ts]]
         if not len(ts):
             continue
-        ts = ts[np.argsort(most[ts], kind="stable")]
-        # A side that has fewer than `keep` yet takes all there is.
-        least = min((x[at][0] if len(x[at]) == keep else 0.0) for x in known.values()) - room if keep is not None else 0.0
-        upto = np.cumsum(most[ts]) * (1 + 1e-9)
-        few = int(np.searchsorted(upto, least)) if least > 0 else 0
-        if few == len(ts):
-            continue
-        rest = upto[few - 1] if few else 0.0
-        take = lambda which: np.concatenate([np.arange(first[t], first[t + 1]) for t in which])
-        places = take(ts[few:])
-        total = added(at, places, doc[places])
-        if few:
-            chance = (total > 0) & (total + rest >= least)
-            if not chance.any():
-                continue
-            total[~chance] = 0.0
-            of = np.concatenate([doc[first[t] : first[t + 1]] for t in ts[:few]])
-            hit = np.flatnonzero(chance[of])
-            places = take(ts[:few])[hit]
-            total += added(at, places, of[hit])
-        for side, x in known.items():
+        # A term's documents lie together: no other document is looked at.
+        places = [slice(*x) for x in zip(first[ts].tolist(), first[ts + 1].tolist())]
+        x, weight, length, of = (np.concatenate([c[p] for p in places]) for c in (f, gain, d, doc))
+        total = np.bincount(of, weights=weight / (x + k1 * (1 - b + b * (length / mean[at]))), minlength=docs.num_rows)
+        for side, best in known.items():
             rows = rows_of[side]
             part = total if rows is None else total[rows]
             if keep is None:
                 i = np.flatnonzero(part > 0)
             else:
-                low = x[at][0] if len(x[at]) == keep else 0.0
+                low = best[at][0] if len(best[at]) == keep else 0.0
                 # The `keep` best of some are no better than those of all.
                 if not low and len(part) > 64 * keep:
                     low = np.partition(part[::16], -keep)[-keep]
                 i = np.flatnonzero((part > 0) & (part >= low - room))
-                x[at] = np.sort(np.concatenate([x[at], part[i]]))[-keep:]
+                best[at] = np.sort(np.concatenate([best[at], part[i]]))[-keep:]
                 # What rounds to the same score is a tie, and ids decide between ties later.
-                i = i[part[i] >= x[at][0] - room] if len(x[at]) == keep else i
+                i = i[part[i] >= best[at][0] - room] if len(best[at]) == keep else i
             out.append((i if rows is None else rows[i], np.full(len(i), at), part[i]))
     none = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
     return tuple(np.concatenate([o[n] for o in [none, *out]]) for n in range(3))
